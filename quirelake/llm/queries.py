@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, frequent, visitors
+from quirelake.llm import bpe, frequent, lookalike, visitors
 from quirelake.runtime import table
 
 QUERIES: dict = {}
@@ -82,3 +82,26 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(
         table(spark, folder, "documents"), "doc_id", "text", tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN
     )
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    forms = p4_forms(spark, folder)
+    return forms.select("field", "row_key", F.when(F.col("field") == "page", "").otherwise(F.col("plain")).alias("plain"))
+
+
+@query()
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_text").select("page_id", "text")
+    requests, matches = table(spark, folder, "search_request"), table(spark, folder, "search_match")
+    before, hit, after = (F.coalesce(F.col(f"excerpt.{x}"), F.lit("")) for x in ("before", "match", "after"))
+    values = (
+        requests.select(F.lit("query").alias("field"), F.col("request_id").alias("row_key"), F.col("query").alias("whole"), F.lit(0).alias("skip"), F.length("query").alias("size"))
+        .unionAll(
+            matches.where(F.col("excerpt.match").isNotNull()).select(
+                F.lit("match"), F.concat_ws(":", "request_id", F.col("match_index").cast("string")), F.concat(before, hit, after), F.length(before), F.length(hit)
+            )
+        )
+        .unionAll(pages.select(F.lit("page"), F.col("page_id").cast("string"), F.col("text"), F.lit(0), F.length("text")))
+    )
+    return lookalike.canonical_values(values, pages)
