@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, frequent, lookalike, visitors
+from quirelake.llm import bpe, frequent, language, lookalike, visitors
 from quirelake.runtime import table
 
 QUERIES: dict = {}
@@ -105,3 +105,16 @@ def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
         .unionAll(pages.select(F.lit("page"), F.col("page_id").cast("string"), F.col("text"), F.lit(0), F.length("text")))
     )
     return lookalike.canonical_values(values, pages)
+
+
+@query()
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.doubtful_pages(p2_segments(spark, folder))
+
+
+@query()
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    # a fixed table of ten codes
+    codes = sorted(r["code"] for r in table(spark, folder, "ocr_language").select("code").collect())
+    pages = table(spark, folder, "page_text").select("page_id", "pdf_path", "text", "lang")
+    return language.label_segments(pages, codes)
