@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, frequent, language, lookalike, visitors
+from quirelake.llm import bpe, frequent, language, leaks, lookalike, visitors
 from quirelake.runtime import table
 
 QUERIES: dict = {}
@@ -118,3 +118,8 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
     codes = sorted(r["code"] for r in table(spark, folder, "ocr_language").select("code").collect())
     pages = table(spark, folder, "page_text").select("page_id", "pdf_path", "text", "lang")
     return language.label_segments(pages, codes)
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
