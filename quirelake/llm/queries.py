@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, frequent, language, leaks, lookalike, visitors
+from quirelake.llm import bpe, frequent, language, leaks, lookalike, subjects, visitors
 from quirelake.runtime import table
 
 QUERIES: dict = {}
@@ -123,3 +123,13 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
+
+
+@query()
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_parts(spark, folder).select("doc_id", "subject")
+
+
+@query()
+def p9_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects(table(spark, folder, "documents"), table(spark, folder, "subject_label"))

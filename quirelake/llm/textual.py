@@ -5,8 +5,8 @@ from __future__ import annotations
 import regex
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’\-]\p{L}[\p{L}\p{M}]*)*")
-_QUOTED = regex.compile(r"«[^»\n]{1,80}(?:\n[^»\n]{1,80})?»|[“„][^”“\n]{1,80}(?:\n[^”“\n]{1,80})?[”“]")
-_BROKEN = regex.compile(r"(?<=\p{L})[-¬=­] *\n *(?=\p{Ll})")
+QUOTED = regex.compile(r"«[^»\n]{1,80}(?:\n[^»\n]{1,80})?»|[“„][^”“\n]{1,80}(?:\n[^”“\n]{1,80})?[”“]")
+BROKEN = regex.compile(r"(?<=\p{L})[-¬=\u00AD] *\n *(?=\p{Ll})")
 _BLANK = regex.compile(r"\n[ \t]*\n+")
 _SENTENCE = regex.compile(r"[^.!?…]*[^.!?…\s][^.!?…]*[.!?…]+[\"”»)\]]*(?=\s|$)|[^.!?…]*[^.!?…\s][^.!?…]*(?:[.!?…]+(?=\S)[^.!?…]*)+(?:[.!?…]+[\"”»)\]]*(?=\s|$))?")
 
@@ -15,7 +15,7 @@ def sentences(text: str) -> list[str]:
     """Whole sentences (with their stop), broken words mended and quoted titles left out."""
     out = []
     for paragraph in _BLANK.split(text):
-        flat = _QUOTED.sub(" ", _BROKEN.sub("", paragraph)).replace("\n", " ")
+        flat = QUOTED.sub(" ", BROKEN.sub("", paragraph)).replace("\n", " ")
         for m in _SENTENCE.finditer(flat):
             s = m.group().strip()
             if s[-1] in ".!?…\"”»)]":
