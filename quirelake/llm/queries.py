@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, frequent, language, leaks, lookalike, subjects, visitors
+from quirelake.llm import bpe, frequent, language, leaks, lookalike, scans, subjects, visitors
 from quirelake.runtime import table
 
 QUERIES: dict = {}
@@ -133,3 +133,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p9_parts(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.subjects(table(spark, folder, "documents"), table(spark, folder, "subject_label"))
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    furniture, split, misread = scans.repair(table(spark, folder, "page_text").select("page_id", "pdf_path", "text"))
+    return (
+        split.select("page_id", F.lit("split").alias("kind"), "piece")
+        .unionAll(misread.select("page_id", F.lit("misread"), F.col("right")))
+        .unionAll(furniture.select("page_id", F.lit("furniture"), "piece"))
+        .distinct()
+    )
+
+
+@query()
+def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.readable_pages(table(spark, folder, "page_text").select("page_id", "pdf_path", "text"))
