@@ -36,7 +36,7 @@ CONFUSIONS = {
 START_P = 2e-4  # each confusion before any is counted
 EDITS = 2
 REAL = 0.004  # how many occurrences a never-seen word counts as
-PULL = 20.0  # strength of the unigram in the bigram likelihood
+PAIR = 0.5  # share of the bigram in the likelihood of a word after another
 
 TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[-'’][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*")
 _BREAK = regex.compile(r"(?<=[\p{L}\p{N}])[-¬=­]\s*$")
@@ -81,9 +81,10 @@ def furniture(lines: list[str], recurring: set[int]) -> list[bool]:
         ended = before is None or bool(_ENDS.search(before.strip()))
         title = s.upper() == s or all(w[0].isupper() or not w[0].isalpha() or len(w) <= 4 for w in s.split())
         short = len(s) <= 0.8 * width or len(filled) == 1 or lines[i].startswith("     ")
-        if short and title and (ended and starts or s.upper() == s and len(s) > 3):
+        narrow = len(s) <= 0.65 * width
+        if short and (ended and starts and (title or narrow or i in recurring) or title and s.upper() == s and len(s) > 3):
             out[i] = True
-        elif i in recurring and short and (ended or starts) and title:
+        elif i in recurring and short and title and (ended or starts):
             out[i] = True
     return out
 
@@ -260,8 +261,11 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # lattices of the lines that hold a suspect
     held = running.join(states, "word").select("page_id", "line", "at", "word", "clean_word", "cands")
     touched = held.groupBy("page_id", "line").agg(F.collect_list(F.struct("at", "word", "clean_word", "cands")).alias("suspects"))
-    texts = running.join(touched.select("page_id", "line"), ["page_id", "line"], "left_semi").groupBy("page_id", "line").agg(
-        F.array_sort(F.collect_list(F.struct("at", "word"))).alias("tokens")
+    texts = (
+        running.join(touched.select("page_id", "line"), ["page_id", "line"], "left_semi")
+        .join(counts.select("word", "n"), "word", "left")
+        .groupBy("page_id", "line")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(1)).alias("n")))).alias("tokens"))
     )
     lattice = cut(texts.join(touched, ["page_id", "line"]))
     pairs = lattice.select(F.explode(_pairs_column("tokens", "suspects")).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
@@ -295,7 +299,7 @@ def _options(word: str, clean: float, cands) -> list[tuple[str, float, float]]:
 def _lattice(tokens, suspects) -> list[list[tuple[str, float, float]]]:
     by_at = {s["at"]: s for s in suspects}
     return [
-        _options(t["word"], float(by_at[t["at"]]["clean_word"]), by_at[t["at"]]["cands"]) if t["at"] in by_at else [(t["word"], 0.0, 1.0)]
+        _options(t["word"], float(by_at[t["at"]]["clean_word"]), by_at[t["at"]]["cands"]) if t["at"] in by_at else [(t["word"], 0.0, float(t["n"]))]
         for t in tokens
     ]
 
@@ -327,7 +331,8 @@ def viterbi(cells: list[list[tuple[str, float, float]]], bigrams: dict[tuple[str
                 row.append((channel + log(alone), -1))
                 continue
             score, source = max(
-                (best[k - 1][j][0] + log((bigrams.get((left, form), 0) + PULL * alone) / (m + PULL)), j) for j, (left, _, m) in enumerate(cells[k - 1])
+                (best[k - 1][j][0] + log(PAIR * min(1.0, bigrams.get((left, form), 0) / max(m, 1.0)) + (1 - PAIR) * alone), j)
+                for j, (left, _, m) in enumerate(cells[k - 1])
             )
             row.append((score + channel, source))
         best.append(row)
@@ -344,7 +349,9 @@ def _viterbi_rows(size: float):
         for pdf in batches:
             rows = []
             for page, line, tokens, suspects, bigrams in zip(*(pdf[c] for c in ("page_id", "line", "tokens", "suspects", "bigrams"))):
-                known = {(g["a"], g["b"]): g["n"] for g in bigrams} if bigrams is not None else {}
+                # a suspect's own pairs are its errors' pairs and speak for nothing
+                own = {x["word"] for x in suspects}
+                known = {(g["a"], g["b"]): g["n"] for g in bigrams if not {g["a"], g["b"]} & own} if bigrams is not None else {}
                 forms = viterbi(_lattice(tokens, suspects), known, float(size))
                 rows += [(page, line, t["at"], t["word"], f) for t, f in zip(tokens, forms) if f != t["word"]]
             yield pd.DataFrame(rows, columns=["page_id", "line", "at", "word", "right"])
