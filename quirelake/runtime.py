@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +68,20 @@ def micros(column):
     """Microseconds since 1970-01-01 of a timestamp, whatever the session's time zone."""
     ntz = column.cast("timestamp_ntz")
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ntz)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quirelake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    file = os.path.join(tempfile.mkdtemp(prefix="quirelake-"), "quirelake.zip")
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("quirelake", os.path.relpath(path, root)))
+    context.addPyFile(file)
+    context._quirelake_shipped = True
