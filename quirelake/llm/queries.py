@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import bpe, frequent, language, leaks, lookalike, scans, subjects, visitors
-from quirelake.runtime import table
+from quirelake.runtime import ship, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,12 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, folder):
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -42,7 +42,7 @@ TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[-'’][\p{L}\p{N}][\p{
 _BREAK = regex.compile(r"(?<=[\p{L}\p{N}])[-¬=­]\s*$")
 _ENDS = regex.compile(r"[.!?:;…][\"”»)\]]*\s*$|[\"”»]\s*$")
 _NUMBER = regex.compile(r"^[\[(|\-–—\s]*(?=.*[\dlivxLIVXoO])[\dlIOoiSvxcVXC5]{1,7}[\])|\-–—\s]*$")
-_PAGE_OF = regex.compile(r"^\p{L}{2,9}\.? +\S{1,6} +\p{L}{1,4} +\S{1,6}$")
+_PAGE_OF = regex.compile(r"^\p{Lu}[\p{L}\d]{1,8}\.? +[\dlIOoiSvxcLXVC]{1,7} +[\p{L}\d]{1,4} +[\dlIOoiS]{1,6}$")
 _STAMP = regex.compile(r"^\p{Lu}[\p{L}\d]*(?: +\p{Lu}[\p{L}\d]*)? +[\dlIOoSi]{1,6}(?: *[|/] *\S{1,6})?$")
 _LEADS = regex.compile(r"^[\dlIOoivxSC]{1,6} {2,}\p{Lu}|\p{L} {3,}[\dlIOoivxSC]{1,6}$")
 _DIGITS = regex.compile(r"[\dlIOo]+")
