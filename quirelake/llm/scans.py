@@ -147,8 +147,9 @@ def _edge_rows(batches):
         yield pd.DataFrame(rows, columns=["file", "key", "page_id", "at"])
 
 
-def _broken_column(column):
-    return column.rlike(r"\p{L}[-¬=\x{AD}] *\n *\p{Ll}")
+def _wrapped_column(column):
+    """Whether a sentence, or even a word, runs on in the next line."""
+    return column.rlike(r"\p{L}[-¬=,\x{AD}]? *\n *\p{Ll}")
 
 
 def _parse_rows(batches):
@@ -172,12 +173,12 @@ def _sources_column(column):
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """``(page_id, scan, furniture, lines)``; a file is a scan when words are broken over its lines."""
+    """``(page_id, scan, furniture, lines)``; a file is a scan when sentences or words are broken over its lines."""
     base = pages.where(F.col("text").isNotNull() & (F.col("text") != "")).select(
         "page_id", F.coalesce("pdf_path", F.lit("")).alias("file"), "text"
     )
     base = widen(base)
-    scans = base.where(_broken_column(F.col("text"))).select("file").distinct().withColumn("scan", F.lit(True))
+    scans = base.where(_wrapped_column(F.col("text"))).select("file").distinct().withColumn("scan", F.lit(True))
     marked = base.join(scans, "file", "left").withColumn("scan", F.coalesce("scan", F.lit(False)))
     edges = marked.where("scan").select("file", "page_id", "text").mapInPandas(_edge_rows, "file string, key string, page_id long, at int")
     often = edges.groupBy("file", "key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("file", "key")
@@ -190,7 +191,7 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Furniture ``(page_id, piece)``, broken words ``(page_id, piece)`` and misread words
     ``(page_id, word, right)`` of the pages ``(page_id, pdf_path, text)``.
 
-    Null and empty texts have none. A file no page of which has a word broken over a line
+    Null and empty texts have none. A file no page of which has a sentence running over a line
     end is no scan; its pages only add to the vocabulary. Pages extracted again are pages
     of their own.
     """
@@ -230,7 +231,6 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seen = running.select("word").distinct().join(counts, "word", "left")
     suspects = seen.where(
         (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & (F.coalesce("clean", F.lit(0)) * 20 <= F.coalesce("n", F.lit(0)))
-        & (F.coalesce("clean", F.lit(0)) <= 2)
     ).select("word", F.coalesce("n", F.lit(0)).alias("n_word"), F.coalesce("clean", F.lit(0)).alias("clean_word"))
     options = (
         suspects.withColumn("c", F.explode(_sources_column("word")))
@@ -292,7 +292,7 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _options(word: str, clean: float, cands) -> list[tuple[str, float, float]]:
     """``(form, log channel, occurrences)`` of a suspect, itself included."""
-    itself = 1e-6 if any(ch.isdigit() for ch in word) else clean + REAL
+    itself = 1e-6 if any(ch.isdigit() for ch in word) else REAL + 0.1 * clean
     return [(word, 0.0, itself)] + [(c["cand"], c["logp"], float(c["n_cand"])) for c in cands]
 
 
