@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.scans import body
 from quirelake.llm.textual import sentences, words
 from quirelake.runtime import cut, widen
 
@@ -25,7 +26,7 @@ EDGE = 0.3  # weight of a word's first and last letters against the whole word
 SMOOTH = 0.05
 LEAST_WORDS = 3
 PULL = 4.0  # strength, in sentences, of the next higher level of the host's hierarchy
-SURE = 0.9
+SURE = 0.99
 
 
 def _bucket(feature: str) -> int:
@@ -97,7 +98,7 @@ def _count_features(codes: list[str], declared: bool, shared):
             for text, lang in zip(pdf["text"], pdf["lang"]):
                 if not text or (declared and lang not in place):
                     continue
-                for s in sentences(text):
+                for s in sentences(body(text)):
                     some = words(s)
                     if len(some) < LEAST_WORDS:
                         continue
@@ -137,7 +138,7 @@ def _tally(codes: list[str], shared):
             ids, out = [], []
             for page, text in zip(pdf["page_id"], pdf["text"]):
                 n = np.zeros(len(codes), np.int64)
-                for s in sentences(text or ""):
+                for s in sentences(body(text or "")):
                     some = words(s)
                     if len(some) >= LEAST_WORDS:
                         n[int(model.score(some).argmax())] += 1
@@ -215,7 +216,7 @@ def label_segments(pages: DataFrame, codes: list[str]) -> DataFrame:
             for page, text, lang, p in zip(pdf["page_id"], pdf["text"], pdf["lang"], pdf["prior"]):
                 fused = np.log(np.maximum(np.asarray(p, float) if p is not None else corpus, 1e-9)) + odds[place.get(lang, size)]
                 segment, last, confidences = -1, None, []
-                for s in sentences(text):
+                for s in sentences(body(text)):
                     some = words(s)
                     if len(some) < LEAST_WORDS:
                         continue

@@ -89,6 +89,28 @@ def furniture(lines: list[str], recurring: set[int]) -> list[bool]:
     return out
 
 
+def body(text: str) -> str:
+    """A page's text without furniture; a sentence that ran on across it is whole again."""
+    lines = text.split("\n")
+    drop = furniture(lines, set())
+    if not any(drop):
+        return text
+    out: list[str] = []
+    gap = False
+    for s, d in zip(lines, drop):
+        if d:
+            gap = True
+        elif s.strip() or not gap:
+            if gap and out and s.strip():
+                while out and not out[-1].strip():
+                    out.pop()
+                if out and _ENDS.search(out[-1]):
+                    out.append("")
+            gap = gap and not s.strip()
+            out.append(s)
+    return "\n".join(out)
+
+
 def running_lines(lines: list[str], drop: list[bool]) -> tuple[list[list[str]], list[str]]:
     """Lower-case tokens of the running lines, and the joined words broken over line ends.
 

@@ -171,6 +171,11 @@ def test_furniture():
     assert scans.furniture(lines, set()) == [True, True, False, False, False, True, False, True]
 
 
+def test_body_joins_across_furniture():
+    text = "16      Coach Title\nThe first sentence of it is he-\n\nPage 61 of 126\n\nre. Next one.\n\n   - 3 -"
+    assert textual.sentences(scans.body(text)) == ["The first sentence of it is here.", "Next one."]
+
+
 def test_running_lines():
     tokens, _ = scans.running_lines(["It was dismi=", "ssed by a well-", "known Man."], [False] * 3)
     assert tokens == [["it", "was", "dismi\u0001ssed"], ["by", "a", "well\u0001known"], ["man"]]
