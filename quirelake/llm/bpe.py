@@ -132,8 +132,9 @@ def encode_corpus(df: DataFrame, key: str, text: str, rank_file: str, pattern: s
     """
     spark = df.sparkSession
     with open(rank_file, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    tag = hash((rank_file, pattern))
+        data = f.read()
+    shared = spark.sparkContext.broadcast(data)
+    tag = hash((data, pattern))
 
     def run(batches):
         encoder = _ENCODERS.get(tag)

@@ -11,6 +11,8 @@ the suffix's, the suffix's towards the corpus. All counts are grouped aggregatio
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -65,7 +67,7 @@ class Likelihood:
         return total
 
 
-_MODELS: dict[int, Likelihood] = {}
+_MODELS: dict[str, Likelihood] = {}
 
 
 def _model(shared) -> Likelihood:
@@ -80,7 +82,7 @@ class Shared:
 
     def __init__(self, spark, value):
         self.box = spark.sparkContext.broadcast(value)
-        self.id = id(value) ^ hash(str(self.box))
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):

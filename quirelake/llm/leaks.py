@@ -19,6 +19,7 @@ fixed greatest size. Documents are never shuffled and nothing is kept about them
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -156,10 +157,10 @@ def may_hold(item: str, places: dict, share: float) -> bool:
 
 
 _SEGMENT = 1 << 16
-_INDEXES: dict[int, Index] = {}
+_INDEXES: dict[str, Index] = {}
 
 
-def _scan(shared, tag: int, share: float):
+def _scan(shared, tag: str, share: float):
     def run(batches):
         index = _INDEXES.get(tag)
         if index is None:
@@ -232,8 +233,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
         size += len(row[1])
     source = widen(documents.select("doc_id", "text"))
     found = None
-    for k, block in enumerate(blocks):
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-        part = source.mapInPandas(_scan(shared, hash((str(shared), k)), share), "doc_id long, item_id long, held double")
+        part = source.mapInPandas(_scan(shared, uuid.uuid4().hex, share), "doc_id long, item_id long, held double")
         found = part if found is None else found.unionAll(part)
     return found.dropDuplicates(["doc_id", "item_id"])

@@ -13,6 +13,7 @@ subjects are those of at least ``share`` of its entries that have one.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from itertools import combinations
 from math import log
@@ -169,7 +170,7 @@ class Scorer:
         return [(self.subjects[i], float(parts[i])) for i in top]
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def subjects(documents: DataFrame, labels: DataFrame, share: float = 0.25) -> DataFrame:
@@ -183,7 +184,7 @@ def subjects(documents: DataFrame, labels: DataFrame, share: float = 0.25) -> Da
     spark = documents.sparkSession
     rules = mine(documents, labels)
     shared = spark.sparkContext.broadcast(rules)
-    tag = hash((len(rules), str(shared)))
+    tag = uuid.uuid4().hex
 
     def run(batches):
         scorer = _SCORERS.get(tag)
