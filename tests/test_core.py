@@ -212,3 +212,26 @@ def test_queries_and_sql_agree():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "p5_found" in e.queries()
+
+
+# ---- greedy matchings ---------------------------------------------------------------------
+
+
+def test_greedy(spark):
+    from quirelake.operators import greedy
+
+    box = "page int, id long, left double, top double, right double, bottom double"
+    marks = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0), (1, 2, 0.0, 0.0, 1.0, 1.0), (1, 3, 5.0, 5.0, 6.0, 6.0)], box)
+    hints = spark.createDataFrame([(1, 10, 0.0, 0.0, 1.0, 0.9), (1, 11, 0.0, 0.0, 1.0, 0.5), (2, 12, 5.0, 5.0, 6.0, 6.0)], box)
+    assert rows(greedy.assign(marks, hints)) == [(1, 1, 10), (1, 2, 11)]
+    at = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0), (1, 3, 500.0, 0.0), (2, 4, 0.0, 0.0)], "page int, id long, x double, y double")
+    assert rows(greedy.place_markers(at)) == [(1, 1, 0.0, 0.0), (1, 2, 30.0, 0.0), (1, 3, 500.0, 0.0), (2, 4, 0.0, 0.0)]
+    c = [
+        (1, 0, 1, "5R", None, "", 0.0, 0.0, 0.1, 0.1),
+        (1, 1, 2, None, "u", "note", 0.0, 0.0, 0.1, 0.1),
+        (1, 2, 3, "5R", None, "x", 0.9, 0.9, 1.0, 1.0),
+        (1, 3, 4, "6R", None, None, 0.0, 0.0, 0.1, 0.1),
+        (2, 0, 5, "5R", None, "", 0.0, 0.0, 0.1, 0.1),
+    ]
+    df = spark.createDataFrame(c, "page int, place int, id long, ann_id string, uid string, text string, left double, top double, right double, bottom double")
+    assert rows(greedy.resolve(df)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 5, 5)]
