@@ -24,9 +24,10 @@ def u06_resolved_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def j08_assigned_hints(spark: SparkSession, folder: str) -> DataFrame:
-    b = _boxed(spark, folder)
-    odd = F.floor(F.col("id") / 40) % 2 == 1
-    return greedy.assign(b.where(~odd), b.where(odd), 0.05)
+    from quirelake.plans.layout import _boxes
+
+    b = _boxes(spark, folder)
+    return greedy.assign(b.where("id % 2 = 0"), b.where("id % 2 = 1"))
 
 
 @query()
@@ -46,7 +47,7 @@ _LAYOUT = (
 def _layout(spark: SparkSession, folder: str) -> DataFrame:
     # a layout is one window's: the first 63 nodes of a binary tree
     k = F.col("s_suppkey")
-    s = table(spark, folder, "supplier").where("s_suppkey < 64")
+    s = table(spark, folder, "supplier").where("s_suppkey BETWEEN 1 AND 63")
     return s.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"), (k % 2 == 1).alias("second"), (k % 3 == 0).alias("horizontal"), ((k % 11) / 10.0).alias("ratio"))
 
 
