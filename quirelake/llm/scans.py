@@ -35,6 +35,7 @@ CONFUSIONS = {
 }
 START_P = 2e-4  # each confusion before any is counted
 EDITS = 2
+LONGEST = 64  # longer tokens are no words of a language and stay as they are
 REAL = 0.004  # how many occurrences a never-seen word counts as
 PAIR = 0.5  # share of the bigram in the likelihood of a word after another
 
@@ -252,7 +253,7 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # suspects: words the corpus hardly has outside of scans
     seen = running.select("word").distinct().join(counts, "word", "left")
     suspects = seen.where(
-        (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & (F.coalesce("clean", F.lit(0)) * 20 <= F.coalesce("n", F.lit(0)))
+        F.length("word").between(2, LONGEST) & F.col("word").rlike(r"\p{L}") & (F.coalesce("clean", F.lit(0)) * 20 <= F.coalesce("n", F.lit(0)))
     ).select("word", F.coalesce("n", F.lit(0)).alias("n_word"), F.coalesce("clean", F.lit(0)).alias("clean_word"))
     options = (
         suspects.withColumn("c", F.explode(_sources_column("word")))
