@@ -15,21 +15,21 @@ DAY_US = 86_400_000_000
 
 
 def time_neighbours(df: DataFrame, keys: list[str], at: str, tie: str, width_us: int = DAY_US) -> DataFrame:
-    """``df`` with ``t``, ``prev_t`` and ``next_t`` (microseconds) of the neighbours in the key's order.
+    """``df`` with ``event_us``, ``prev_us`` and ``next_us`` (microseconds) of the neighbours in the key's order.
 
     A key's rows are cut into ranges of ``width_us``; windows run inside a range, and only the
     first and last time of each range are compared across ranges. A key with a third of all
     rows thus spreads over its ranges. Equal times are ordered by ``tie``. Rows without a
-    time are left out.
+    time and rows with a null key are left out; an empty table gives no rows.
     """
-    rows = df.withColumn("t", micros(F.col(at))).where(F.col("t").isNotNull()).withColumn("_range", F.floor(F.col("t") / width_us))
-    inside = Window.partitionBy(*keys, "_range").orderBy("t", tie)
-    edges = rows.groupBy(*keys, "_range").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = df.withColumn("event_us", micros(F.col(at))).where(F.col("event_us").isNotNull()).withColumn("_range", F.floor(F.col("event_us") / width_us))
+    inside = Window.partitionBy(*keys, "_range").orderBy("event_us", tie)
+    edges = rows.groupBy(*keys, "_range").agg(F.min("event_us").alias("lo"), F.max("event_us").alias("hi"))
     across = Window.partitionBy(*keys).orderBy("_range")
     edges = edges.select(*keys, "_range", F.lag("hi").over(across).alias("_before"), F.lead("lo").over(across).alias("_after"))
-    near = rows.withColumn("_p", F.lag("t").over(inside)).withColumn("_n", F.lead("t").over(inside))
+    near = rows.withColumn("_p", F.lag("event_us").over(inside)).withColumn("_n", F.lead("event_us").over(inside))
     out = near.join(edges, [*keys, "_range"])
-    return out.withColumn("prev_t", F.coalesce("_p", "_before")).withColumn("next_t", F.coalesce("_n", "_after")).drop("_p", "_n", "_before", "_after", "_range")
+    return out.withColumn("prev_us", F.coalesce("_p", "_before")).withColumn("next_us", F.coalesce("_n", "_after")).drop("_p", "_n", "_before", "_after", "_range")
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str], fn: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -66,22 +66,22 @@ def _typed(df: DataFrame, names: list[str]) -> str:
 def debounce(df: DataFrame, keys: list[str], at: str, tie: str, wait_us: int) -> DataFrame:
     """Rows after which their key is silent for more than ``wait_us``; the last row always stays."""
     near = time_neighbours(df, keys, at, tie)
-    return near.where(F.col("next_t").isNull() | (F.col("next_t") - F.col("t") > wait_us)).drop("t", "prev_t", "next_t")
+    return near.where(F.col("next_us").isNull() | (F.col("next_us") - F.col("event_us") > wait_us)).drop("event_us", "prev_us", "next_us")
 
 
 def runs(df: DataFrame, keys: list[str], at: str, tie: str, gap_us: int) -> DataFrame:
-    """``df`` with ``t`` and the ``run`` number: a distance over ``gap_us`` starts a new run.
+    """``df`` with ``event_us`` and the ``run`` number: a distance over ``gap_us`` starts a new run.
 
     Run numbers are the running count of starts; only starts, not rows, are windowed by key.
     """
-    near = time_neighbours(df, keys, at, tie).withColumn("_start", F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > gap_us))
-    days = near.withColumn("_range", F.floor(F.col("t") / DAY_US))
+    near = time_neighbours(df, keys, at, tie).withColumn("_start", F.col("prev_us").isNull() | (F.col("event_us") - F.col("prev_us") > gap_us))
+    days = near.withColumn("_range", F.floor(F.col("event_us") / DAY_US))
     whole = days.groupBy(*keys, "_range").agg(F.count_if("_start").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = whole.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_range").orderBy("t", tie).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_range").orderBy("event_us", tie).rowsBetween(Window.unboundedPreceding, 0)
     numbered = days.withColumn("_in", F.sum(F.col("_start").cast("long")).over(inside))
-    return numbered.join(offsets, [*keys, "_range"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_start", "_range", "_in", "_base", "prev_t", "next_t")
+    return numbered.join(offsets, [*keys, "_range"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_start", "_range", "_in", "_base", "prev_us", "next_us")
 
 
 def batches(df: DataFrame, keys: list[str], at: str, tie: str, silence_us: int, longest_us: int) -> DataFrame:
@@ -99,11 +99,11 @@ def batches(df: DataFrame, keys: list[str], at: str, tie: str, silence_us: int,
         yield (*key, batch, first, last, n)
 
     found = runs(df, keys, at, tie, silence_us)
-    return per_group(found, [*keys, "run"], ["t", tie], [], cut, f"{_typed(df, keys)}, run long, batch int, first_t long, last_t long, n long")
+    return per_group(found, [*keys, "run"], ["event_us", tie], [], cut, f"{_typed(df, keys)}, run long, batch int, first_t long, last_t long, n long")
 
 
 def throttle(df: DataFrame, keys: list[str], at: str, tie: str, pause_us: int) -> DataFrame:
-    """``(keys, run, t, tie)``: rows let through, at most one each ``pause_us``; first and last of a run always."""
+    """``(keys, run, event_us, tie)``: rows let through, at most one each ``pause_us``; first and last of a run always."""
 
     def pick(key, rows):
         last, waiting = None, None
@@ -116,7 +116,7 @@ def throttle(df: DataFrame, keys: list[str], at: str, tie: str, pause_us: int) -
             yield waiting
 
     found = runs(df, keys, at, tie, pause_us)
-    return per_group(found, [*keys, "run"], ["t", tie], [], pick, f"{_typed(df, keys)}, run long, t long, {_typed(df, [tie])}")
+    return per_group(found, [*keys, "run"], ["event_us", tie], [], pick, f"{_typed(df, keys)}, run long, event_us long, {_typed(df, [tie])}")
 
 
 def accumulate(df: DataFrame, keys: list[str], at: str, tie: str, delta: str, step: float, idle_us: int, most: int = 3) -> DataFrame:
@@ -138,7 +138,7 @@ def accumulate(df: DataFrame, keys: list[str], at: str, tie: str, delta: str, st
             yield (*key[:-1], i, steps * way)
 
     found = runs(df, keys, at, tie, idle_us)
-    return per_group(found, [*keys, "run"], ["t", tie], [delta], walk, f"{_typed(df, [*keys, tie])}, steps int")
+    return per_group(found, [*keys, "run"], ["event_us", tie], [delta], walk, f"{_typed(df, [*keys, tie])}, steps int")
 
 
 def newest(df: DataFrame, keys: list[str], at: str, tie: str, n: int) -> DataFrame:

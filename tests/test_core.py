@@ -162,6 +162,9 @@ def test_timers(spark):
     assert [r["i"] for r in ordered.throttle(df, ["u"], "at", "i", 9 * s).orderBy("i").collect()] == [0, 3, 4, 5]
     assert [r["steps"] for r in ordered.accumulate(df, ["u"], "at", "i", "d", 10.0, 5 * s).orderBy("i").collect()] == [0, 1, 1, 0, 1, 0]
     assert ordered.debounce(df.limit(0), ["u"], "at", "i", s).count() == 0
+    odd = df.withColumn("t", F.lit("own")).unionByName(spark.createDataFrame([(7, None, 1), (8, "u", None)], "i int, u string, s long").withColumn("at", F.timestamp_seconds("s")).withColumn("d", F.lit(None).cast("double")).withColumn("t", F.lit("x")))
+    kept = ordered.debounce(odd, ["u"], "at", "i", 2 * s)
+    assert kept.columns == odd.columns and {(r["i"], r["t"]) for r in kept.collect()} == {(2, "own"), (4, "own"), (5, "own")}
 
 
 def test_series(spark):
