@@ -66,7 +66,7 @@ def _typed(df: DataFrame, names: list[str]) -> str:
 def debounce(df: DataFrame, keys: list[str], at: str, tie: str, wait_us: int) -> DataFrame:
     """Rows after which their key is silent for more than ``wait_us``; the last row always stays."""
     near = time_neighbours(df, keys, at, tie)
-    return near.where(F.col("next_us").isNull() | (F.col("next_us") - F.col("event_us") > wait_us)).drop("event_us", "prev_us", "next_us")
+    return near.where(F.col("next_us").isNull() | (F.col("next_us") - F.col("event_us") > wait_us)).select(*df.columns)
 
 
 def runs(df: DataFrame, keys: list[str], at: str, tie: str, gap_us: int) -> DataFrame:
@@ -81,7 +81,7 @@ def runs(df: DataFrame, keys: list[str], at: str, tie: str, gap_us: int) -> Data
     offsets = whole.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_range").orderBy("event_us", tie).rowsBetween(Window.unboundedPreceding, 0)
     numbered = days.withColumn("_in", F.sum(F.col("_start").cast("long")).over(inside))
-    return numbered.join(offsets, [*keys, "_range"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_start", "_range", "_in", "_base", "prev_us", "next_us")
+    return numbered.join(offsets, [*keys, "_range"]).withColumn("run", F.col("_base") + F.col("_in")).select(*df.columns, "event_us", "run")
 
 
 def batches(df: DataFrame, keys: list[str], at: str, tie: str, silence_us: int, longest_us: int) -> DataFrame:
