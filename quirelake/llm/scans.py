@@ -46,6 +46,8 @@ _NUMBER = regex.compile(r"^[\[(|\-–—\s]*(?=.*[\dlivxLIVXoO])[\dlIOoiSvxcVXC5
 _PAGE_OF = regex.compile(r"^\p{Lu}[\p{L}\d]{1,8}\.? +[\dlIOoiSvxcLXVC]{1,7} +[\p{L}\d]{1,4} +[\dlIOoiS]{1,6}$")
 _STAMP = regex.compile(r"^\p{Lu}[\p{L}\d]*(?: +\p{Lu}[\p{L}\d]*)? +[\dlIOoSi]{1,6}(?: *[|/] *\S{1,6})?$")
 _LEADS = regex.compile(r"^[\dlIOoivxSC]{1,6} {2,}\p{Lu}|\p{L} {3,}[\dlIOoivxSC]{1,6}$")
+#: Characters nobody sees inside a word (at a line's end a soft hyphen is a break).
+_INSIDE = regex.compile(r"(?<=[\p{L}\p{M}\d])[\u00AD\u200B-\u200F\u2060-\u2064\uFEFF]+(?=[\p{L}\p{M}\d])")
 _DIGITS = regex.compile(r"[\dlIOo]+")
 
 
@@ -121,7 +123,7 @@ def running_lines(lines: list[str], drop: list[bool]) -> tuple[list[list[str]],
     keep = [s for s, d in zip(lines, drop) if not d and s.strip()]
     out, carry = [], None
     for at, line in enumerate(keep):
-        s = line.strip()
+        s = _INSIDE.sub("", line.strip())
         tokens = TOKEN.findall(s)
         if carry is not None and tokens:
             out[-1].append(carry + "\u0001" + tokens[0].lower())

@@ -179,6 +179,8 @@ def test_body_joins_across_furniture():
 def test_running_lines():
     tokens, _ = scans.running_lines(["It was dismi=", "ssed by a well-", "known Man."], [False] * 3)
     assert tokens == [["it", "was", "dismi\u0001ssed"], ["by", "a", "well\u0001known"], ["man"]]
+    tokens, _ = scans.running_lines(["A ch\u00adim\u200bney on the so\u00ad", "uth side."], [False] * 2)
+    assert tokens == [["a", "chimney", "on", "the", "so\u0001uth"], ["side"]]
 
 
 def test_viterbi_prefers_the_likely_word():
