@@ -6,7 +6,8 @@ other numbers. What is left is running text; words broken over line ends are men
 
 A word is suspect when the corpus hardly has it outside of scans. Its candidates are the
 corpus words it could have been: the usual confusions of characters are undone, up to two
-in a word, and the results are joined with the counted vocabulary. The probability of each
+in a word, and the results are joined with the counted vocabulary. Words known mostly from
+scans are candidates too, with a likelihood that falls with their share outside of scans. The probability of each
 confusion is estimated from the corpus: first decisions with equal probabilities are
 counted by confusion. For each line the most probable sequence is then decoded by Viterbi
 over its lattice of candidates, channel probability times smoothed bigram likelihood, with
@@ -37,6 +38,9 @@ START_P = 2e-4  # each confusion before any is counted
 EDITS = 2
 LONGEST = 64  # longer tokens are no words of a language and stay as they are
 REAL = 0.004  # how many occurrences a never-seen word counts as
+KNOWN = 0.05  # share of occurrences outside of scans from which a word is no suspect and counts in full
+UNSEEN = 0.05  # what a word never seen outside of scans counts of that
+RARER = 20  # so many times as frequent, a word known mostly from scans is a candidate
 PAIR = 0.5  # share of the bigram in the likelihood of a word after another
 
 TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[-'’][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*")
@@ -212,6 +216,19 @@ def parse(pages: DataFrame) -> DataFrame:
     return ready.mapInPandas(_parse_rows, "page_id long, scan boolean, furniture array<string>, lines array<array<string>>")
 
 
+def _weighted(options: DataFrame) -> DataFrame:
+    """``options`` with ``weight``, the log probability that the candidate is a word at all.
+
+    It falls with the share outside of scans below ``KNOWN``, and for a word that a known one
+    explains as a misreading of itself.
+    """
+    share = F.least(F.lit(1.0), F.greatest(F.lit(UNSEEN), F.col("clean_cand") / F.col("n_cand") / KNOWN))
+    likely = F.col("n_cand") * F.pow(F.lit(START_P), F.size(F.split("how", r"\|")))
+    explained = options.where("known").groupBy(F.col("word").alias("cand")).agg(F.max(likely).alias("source"))
+    real = F.when(F.col("known"), F.lit(1.0)).otherwise(REAL / (REAL + F.coalesce("source", F.lit(0.0))))
+    return options.join(explained, "cand", "left").withColumn("weight", F.log(share) + F.log(real)).drop("source")
+
+
 def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Furniture ``(page_id, piece)``, broken words ``(page_id, piece)`` and misread words
     ``(page_id, word, right)`` of the pages ``(page_id, pdf_path, text)``.
@@ -261,11 +278,16 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         suspects.withColumn("c", F.explode(_sources_column("word")))
         .select("word", "n_word", "clean_word", F.col("c.cand").alias("cand"), F.col("c.how").alias("how"))
         .join(counts.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"), F.col("clean").alias("clean_cand")), "cand")
-        .where((F.col("n_cand") > F.col("n_word") * 3) & (F.col("n_cand") >= 3) & (F.col("clean_cand") * 20 > F.col("n_cand")))
+        .withColumn("known", F.col("clean_cand") / F.col("n_cand") > KNOWN)
+        .where(
+            F.col("word").rlike(r"\d")
+            | F.col("known") & (F.col("n_cand") > F.col("n_word") * 3) & (F.col("n_cand") >= 3)
+            | (F.col("n_cand") > F.col("n_word") * RARER)
+        )
     )
-    options = cut(options)
+    options = _weighted(cut(options))
     # confusion probabilities from first decisions: one row for each confusion of the fixed table
-    first = options.groupBy("word").agg(F.max_by("how", F.log("n_cand") + F.log(F.lit(START_P)) * F.size(F.split("how", r"\|"))).alias("how"), F.max("n_word").alias("n"))
+    first = options.groupBy("word").agg(F.max_by("how", F.log("n_cand") + F.col("weight") + F.log(F.lit(START_P)) * F.size(F.split("how", r"\|"))).alias("how"), F.max("n_word").alias("n"))
     tally = {r["h"]: r["n"] for r in first.select(F.explode(F.split("how", r"\|")).alias("h"), "n").groupBy("h").agg(F.sum(F.greatest("n", F.lit(1))).alias("n")).collect()}
     mean = (sum(tally.values()) or 1) / max(1, len(tally))
     logs = {h: log(START_P * (n + 0.05 * mean) / (1.05 * mean)) for h, n in tally.items()}
@@ -280,7 +302,7 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     states = (
         options.join(channel, ["word", "cand"])
         .groupBy("word", "n_word", "clean_word")
-        .agg(F.collect_list(F.struct("cand", "logp", "n_cand")).alias("cands"))
+        .agg(F.collect_list(F.struct("cand", (F.col("logp") + F.col("weight")).alias("logp"), "n_cand")).alias("cands"))
     )
 
     # lattices of the lines that hold a suspect

@@ -202,6 +202,14 @@ def test_repair(spark):
     assert whole[3] == clean
 
 
+def test_repair_knows_words_of_scans(spark):
+    line = "la stagione bella era lunga\ne la terra fredda."
+    pages = [(i, f"/s/{i}.pdf", line) for i in range(40)]
+    pages += [(100, "/s/100.pdf", "la stag1one bella era lunga\ne la terra fredda."), (101, "/s/101.pdf", "la stagione bclla era lunga\ne la terra fredda.")]
+    df = spark.createDataFrame(pages, "page_id long, pdf_path string, text string")
+    assert {tuple(r) for r in scans.repair(df)[2].collect()} == {(100, "stag1one", "stagione"), (101, "bclla", "bella")}
+
+
 # ---- leaks --------------------------------------------------------------------------------
 
 
