@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 CONTEXT = 40  # characters of an excerpt on either side (fixed value)
 _SPACE = r"(?U)\s+"
+#: White space as the reference's ``\s`` has it (in Java a byte order mark is none, and U+0085 is one).
+_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _EDGES = r"(?U)^\s+|\s+$"
 
 
@@ -50,13 +52,13 @@ def excerpt(text: Column, start: Column, end: Column, context: int = CONTEXT) ->
     """``struct<prefix, suffix, before, match, after>`` around ``text[start:end]``."""
     lo = F.greatest(start - context, F.lit(0))
     hi = F.least(end + context, F.length(text))
-    cut = lambda a, b: F.substring(text, a + 1, b - a)
+    cut = lambda a, b: F.regexp_replace(F.substring(text, a + 1, b - a), _BLANK + "+", " ")
     return F.struct(
         (lo > 0).alias("prefix"),
         (hi < F.length(text)).alias("suffix"),
-        F.regexp_replace(squeeze(cut(lo, start)), r"(?U)^\s+", "").alias("before"),
-        squeeze(cut(start, end)).alias("match"),
-        F.regexp_replace(squeeze(cut(end, hi)), r"(?U)\s+$", "").alias("after"),
+        F.regexp_replace(cut(lo, start), "^ ", "").alias("before"),
+        cut(start, end).alias("match"),
+        F.regexp_replace(cut(end, hi), r" \z", "").alias("after"),
     )
 
 

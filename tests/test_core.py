@@ -238,3 +238,22 @@ def test_greedy(spark):
     ]
     df = spark.createDataFrame(c, "page int, place int, id long, ann_id string, uid string, text string, left double, top double, right double, bottom double")
     assert rows(greedy.resolve(df)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 5, 5)]
+
+
+# ---- whole jobs ---------------------------------------------------------------------------
+
+
+def query(name):
+    import __spark_entry__ as e
+
+    return e.queries()[name]
+
+
+def test_excerpts_of_all_documents(spark, tmp_path):
+    text = "«Über\u00a0 \ufeff the\u2028дом» " + "é" * 50
+    spark.createDataFrame([(1, text), (2, None), (3, "in the end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(query("proj_p02_excerpts")(spark, str(tmp_path)))
+    assert got == [(3, 3, False, False, "in ", "the ", "end")]
+    text = "«Über\u00a0\ufeff the дом»\u2003" + "é" * 50
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert rows(query("proj_p02_excerpts")(spark, str(tmp_path))) == [(1, 8, False, True, "«Über ", "the ", "дом» " + "é" * 35)]
