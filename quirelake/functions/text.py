@@ -129,3 +129,24 @@ def common_prefix(a: Column, b: Column) -> Column:
         F.lit(0),
         lambda acc, i: F.when((acc == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(acc),
     )
+
+
+def word_bounds(text: Column, at: Column) -> Column:
+    """``struct<start, stop>`` of the word at an offset; from white space it moves to the nearest
+    other character, left first, and stays in a text of white space only."""
+    size = F.length(text)
+    run = lambda part, form: F.length(F.regexp_extract(part, form, 0))
+    before = lambda i: F.substring(text, F.lit(1), i)
+    after = lambda i: F.substring(text, i + 1, size)
+    left = at - run(before(at), _BLANK + r"*\z") - 1
+    right = at + run(after(at), r"\A" + _BLANK + "*")
+    near = (
+        F.when(right == at, at)
+        .when((left >= 0) & ((right >= size) | (at - left <= right - at)), left)
+        .when(right < size, right)
+    )
+    word = _BLANK.replace("[", "[^", 1) + "*"
+    return F.when(
+        near.isNotNull(),
+        F.struct((near - run(before(near), word + r"\z")).alias("start"), (near + run(after(near), r"\A" + word)).alias("stop")),
+    ).when(size > 0, F.struct(at.alias("start"), (at + 1).alias("stop")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.functions import text as fx
 from quirelake.operators import greedy
 from quirelake.plans.annotations import comments
 from quirelake.plans.registry import query
@@ -72,9 +73,7 @@ _AT = "WITH d AS (SELECT doc_id, text, CAST(doc_id * 7919 % length(text) AS INT)
 
 @query(_AT.replace(" AS at FROM", " AS off FROM").replace("at + 1", "off + 1") + "SELECT doc_id, CAST(off - length(regexp_extract(substring(text, 1, off), '\\S*$', 0)) AS INT) AS start, CAST(off + length(regexp_extract(substring(text, off + 1), '^\\S*', 0)) AS INT) AS stop FROM w")
 def x33_word_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where((F.length("text") > 0) & ~F.col("text").rlike(r"[^\x00-\x7E]"))
+    # the twin has the ASCII texts and the offsets within words only
+    d = table(spark, folder, "documents").where(F.length("text") > 0)
     d = d.select("doc_id", "text", (F.col("doc_id") * 7919 % F.length("text")).cast("int").alias("off"))
-    d = d.where(~F.substring(F.col("text"), F.col("off") + 1, F.lit(1)).rlike(r"\s"))
-    before = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("off")), r"\S*\z", 0)
-    after = F.regexp_extract(F.substring(F.col("text"), F.col("off") + 1, F.length("text")), r"\A\S*", 0)
-    return d.select("doc_id", (F.col("off") - F.length(before)).alias("start"), (F.col("off") + F.length(after)).alias("stop"))
+    return d.select("doc_id", fx.word_bounds(F.col("text"), F.col("off")).alias("w")).select("doc_id", "w.start", "w.stop")

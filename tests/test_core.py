@@ -257,3 +257,25 @@ def test_excerpts_of_all_documents(spark, tmp_path):
     text = "«Über\u00a0\ufeff the дом»\u2003" + "é" * 50
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert rows(query("proj_p02_excerpts")(spark, str(tmp_path))) == [(1, 8, False, True, "«Über ", "the ", "дом» " + "é" * 35)]
+
+
+def test_word_bounds(spark, tmp_path):
+    def brute(text, at):
+        blank = lambda i: text[i] in " \t\n\u00a0\ufeff"
+        if blank(at):
+            at = min((i for i in range(len(text)) if not blank(i)), key=lambda i: (abs(i - at), i), default=at)
+        start, stop = at, at + 1
+        while start > 0 and not blank(start - 1):
+            start -= 1
+        while stop < len(text) and not blank(stop):
+            stop += 1
+        return start, stop
+
+    texts = ["ab  cd", "один\u00a0\n два\ufeffé  ", "   x", "y   "]
+    cases = [(t, i) for t in texts for i in range(len(t))]
+    df = spark.createDataFrame(cases, "t string, i int")
+    got = {(r["t"], r["i"]): tuple(r["w"]) for r in df.select("t", "i", tx.word_bounds(F.col("t"), F.col("i")).alias("w")).collect()}
+    assert got == {(t, i): brute(t, i) for t, i in cases}
+    assert one(spark, tx.word_bounds(F.col("t"), F.lit(1)), t="   ") == (1, 2)
+    spark.createDataFrame([(1, "a é"), (2, "ab "), (3, ""), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(query("x33_word_bounds")(spark, str(tmp_path))) == [(1, 2, 3), (2, 0, 2)]
