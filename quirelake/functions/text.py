@@ -122,15 +122,21 @@ def canonical_path(column: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Number of equal leading characters."""
+    """Number of equal leading characters, by halving steps over the whole texts."""
     n = F.least(F.length(a), F.length(b))
+    part = lambda c, i, size: F.substring(c, i + 1, size)
     return F.aggregate(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        F.lit(0),
-        lambda acc, i: F.when((acc == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(acc),
+        F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]),
+        F.when(n.isNotNull(), 0),
+        lambda acc, size: F.when((size <= n - acc) & (part(a, acc, size) == part(b, acc, size)), acc + size).otherwise(acc),
     )
 
 
+def common_suffix(a: Column, b: Column) -> Column:
+    """Number of equal closing characters."""
+    return common_prefix(F.reverse(a), F.reverse(b))
+
+
 def word_bounds(text: Column, at: Column) -> Column:
     """``struct<start, stop>`` of the word at an offset; from white space it moves to the nearest
     other character, left first, and stays in a text of white space only."""

