@@ -289,3 +289,16 @@ def test_common_ends_of_whole_texts(spark, tmp_path):
     assert [r[1] for r in rows(query("x27_common_prefixes")(spark, str(tmp_path)))] == [100, 0, 0, 0, 0]
     assert [r[1] for r in rows(query("x27_common_suffixes")(spark, str(tmp_path)))] == [0, 80, 0, 0, 0]
     assert one(spark, tx.common_prefix(F.col("a"), F.col("b")), a="x" * 5000, b="x" * 4097) == 4097
+
+
+def test_layout_of_all_suppliers(spark, tmp_path):
+    spark.range(0, 131).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r[0]: tuple(r)[1:] for r in query("proj_p08_layout_rects")(spark, str(tmp_path)).collect()}
+    want = {1: (0.0, 0.0, 1.0, 1.0)}
+    for k in range(2, 131):
+        x, y, w, h = want[k // 2]
+        r, second = max(0.1, min(0.9, k // 2 % 11 / 10)), k % 2 == 1
+        part = 1 - r if second else r
+        want[k] = (x + w * r * second, y, w * part, h) if k // 2 % 3 == 0 else (x, y + h * r * second, w, h * part)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
