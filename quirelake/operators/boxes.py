@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.geometry import crosses, iou, overlap, touches
+from quirelake.functions.geometry import area, crosses, iou, overlap, touches
 
 
 def _rect(p: str):
@@ -52,15 +52,21 @@ def union_box(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
 
 
-def best_overlap(boxes: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """``(page, mark, id, score)``: for each mark the box with the largest IoU, at least ``least``.
+def best_overlap(boxes: DataFrame, marks: DataFrame, near: float = 40.0) -> DataFrame:
+    """``(page, mark, id, score)``: for each mark the box with the largest IoU above 0, else the one
+    with the nearest centre, at most ``near`` away, with score 0.
 
     ``marks`` is given by the user (a handful for each page); ties go to the smaller id.
+    Boxes and marks without any area have no part in it.
     """
     a, b = _named(boxes, "a_"), marks.select("page", F.col("id").alias("mark"), *[F.col(c).alias("b_" + c) for c in ("left", "top", "right", "bottom")])
-    met = a.join(b, "page").withColumn("score", iou(_rect("a_"), _rect("b_"))).where(F.col("score") >= least)
-    best = F.max(F.struct("score", (-F.col("a_id")).alias("k"))).alias("m")
-    return met.groupBy("page", "mark").agg(best).select("page", "mark", (-F.col("m.k")).alias("id"), F.col("m.score").alias("score"))
+    met = a.join(b, "page").where((area(*_rect("a_")) > 0) & (area(*_rect("b_")) > 0)).withColumn("score", iou(_rect("a_"), _rect("b_")))
+    middle = lambda p, lo, hi: (F.col(p + lo) + F.col(p + hi)) / 2
+    far = F.hypot(middle("a_", "left", "right") - middle("b_", "left", "right"), middle("a_", "top", "bottom") - middle("b_", "top", "bottom"))
+    best = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("a_id")).alias("k")))).alias("m")
+    close = F.min(F.when(far <= near, F.struct(far.alias("d"), F.col("a_id").alias("id")))).alias("c")
+    chosen = met.groupBy("page", "mark").agg(best, close).where("m IS NOT NULL OR c IS NOT NULL")
+    return chosen.select("page", "mark", F.coalesce(-F.col("m.k"), F.col("c.id")).alias("id"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
 
 
 def hit(boxes: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:

@@ -241,7 +241,8 @@ def j09_best_overlap(spark: SparkSession, folder: str) -> DataFrame:
     b = _boxes(spark, folder)
     lits = {"left": 40.0, "top": 50.0, "right": 120.0, "bottom": 150.0}
     marks = b.select("page").distinct().select("page", F.lit(1).alias("id"), *[F.lit(v).alias(c) for c, v in lits.items()])
-    return boxes.best_overlap(b, marks, 0.2).select("page", "mark", "id")
+    # the twin has the marks with an IoU of at least 0.2 only
+    return boxes.best_overlap(b, marks).select("page", "mark", "id")
 
 
 @query()

@@ -302,3 +302,11 @@ def test_layout_of_all_suppliers(spark, tmp_path):
         want[k] = (x + w * r * second, y, w * part, h) if k // 2 % 3 == 0 else (x, y + h * r * second, w, h * part)
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
+def test_best_overlap_or_nearest(spark):
+    box = "page int, id long, left double, top double, right double, bottom double"
+    b = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 9.0, 0.0, 30.0, 10.0), (2, 3, 30.0, 0.0, 40.0, 10.0), (2, 4, 45.0, 0.0, 45.0, 10.0), (3, 5, 51.0, 0.0, 61.0, 10.0), (4, 6, 40.0, 0.0, 50.0, 10.0), (4, 7, 0.0, 40.0, 10.0, 50.0)], box)
+    marks = spark.createDataFrame([(1, 9, 9.5, 0.0, 10.5, 1.0), (2, 9, 0.0, 0.0, 10.0, 10.0), (3, 9, 0.0, 0.0, 10.0, 10.0), (4, 9, 0.0, 0.0, 10.0, 10.0), (4, 10, 0.0, 0.0, 0.0, 10.0)], box)
+    got = {tuple(r)[:3]: r["score"] for r in boxes.best_overlap(b, marks).collect()}
+    assert got == {(1, 9, 1): pytest.approx(0.5 / 100.5), (2, 9, 3): 0.0, (4, 9, 6): 0.0}
