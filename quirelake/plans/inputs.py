@@ -56,9 +56,11 @@ def s09_outlines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(4 AS INT) AS width, CAST(length(text) // 4 AS INT) AS height FROM documents WHERE length(text) >= 4 AND NOT regexp_matches(text, '[^\\x00-\\x7E]')")
 def s12_grey_maps(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where((F.length("text") >= 4) & ~F.col("text").rlike(r"[^\x00-\x7E]"))
-    image = F.concat(F.lit("P5\n# made of text\n4 "), F.floor(F.length("text") / 4).cast("string"), F.lit("\n255\n"), "text")
-    return formats.netpbm(d.select("doc_id", image.cast("binary").alias("content")), "doc_id").select("doc_id", "width", "height")
+    # the twin has the ASCII texts of four characters and more only; shorter ones are no image
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    head = F.concat(F.lit("P5\n# made of text\n4 "), F.floor(F.octet_length(data) / 4).cast("string"), F.lit("\n255\n"))
+    d = table(spark, folder, "documents").select("doc_id", F.concat(F.encode(head, "UTF-8"), data).alias("content"))
+    return formats.netpbm(d, "doc_id").select("doc_id", "width", "height")
 
 
 @query("SELECT doc_id, CAST(2 AS BIGINT) AS signature FROM documents")

@@ -78,6 +78,8 @@ def parse_netpbm(data: bytes) -> tuple[int, int, int, bytes]:
         numbers.append(int(data[at:end]))
         at = end
     width, height, top = numbers
+    if width <= 0 or height <= 0:
+        raise ValueError("no pixels")
     if top > 255:
         raise ValueError("only eight bits")
     channels = 1 if data[:2] == b"P5" else 3

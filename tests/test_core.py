@@ -310,3 +310,9 @@ def test_best_overlap_or_nearest(spark):
     marks = spark.createDataFrame([(1, 9, 9.5, 0.0, 10.5, 1.0), (2, 9, 0.0, 0.0, 10.0, 10.0), (3, 9, 0.0, 0.0, 10.0, 10.0), (4, 9, 0.0, 0.0, 10.0, 10.0), (4, 10, 0.0, 0.0, 0.0, 10.0)], box)
     got = {tuple(r)[:3]: r["score"] for r in boxes.best_overlap(b, marks).collect()}
     assert got == {(1, 9, 1): pytest.approx(0.5 / 100.5), (2, 9, 3): 0.0, (4, 9, 6): 0.0}
+
+
+def test_grey_maps_of_all_documents(spark, tmp_path):
+    texts = [(1, "дом и сад"), (2, "abcdefgh"), (3, "é"), (4, ""), (5, None), (6, "éé")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(query("s12_grey_maps")(spark, str(tmp_path))) == [(1, 4, 4), (2, 4, 2), (3, None, None), (4, None, None), (5, None, None), (6, 4, 1)]
