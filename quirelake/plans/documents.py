@@ -287,7 +287,7 @@ def x23_escaped_xml(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN 'Unknown size' WHEN n_chars < 10 THEN printf('%.1f', CAST(n_chars AS DOUBLE)) || ' B' WHEN n_chars < 1024 THEN printf('%.0f', CAST(n_chars AS DOUBLE)) || ' B' WHEN CAST(n_chars AS DOUBLE) / 1024 >= 10 THEN printf('%.0f', floor(CAST(n_chars AS DOUBLE) / 1024 + 0.5)) || ' KB' ELSE printf('%.1f', floor(CAST(n_chars AS DOUBLE) / 1024 * 10 + 0.5) / 10) || ' KB' END AS size FROM documents WHERE n_chars IS NULL OR n_chars < 1048576")
 def x04_document_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("n_chars IS NULL OR n_chars < 1048576").select("doc_id", fx.file_size_label(F.col("n_chars")).alias("size"))
+    return table(spark, folder, "documents").select("doc_id", fx.file_size_label(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT doc_id, 'D:' || strftime(added_at, '%Y%m%d%H%M%S') || '+00''00''' AS pdf_date, CAST(epoch_us(date_trunc('second', added_at)) // 1000000 AS BIGINT) AS at_s FROM documents WHERE added_at IS NOT NULL")

@@ -316,3 +316,9 @@ def test_grey_maps_of_all_documents(spark, tmp_path):
     texts = [(1, "дом и сад"), (2, "abcdefgh"), (3, "é"), (4, ""), (5, None), (6, "éé")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(query("s12_grey_maps")(spark, str(tmp_path))) == [(1, 4, 4), (2, 4, 2), (3, None, None), (4, None, None), (5, None, None), (6, 4, 1)]
+
+
+def test_sizes_of_large_documents(spark, tmp_path):
+    sizes = [(1, 1048575), (2, 1048576), (3, 30 * 1048576), (4, 5 * 1024**3), (5, None), (6, 0)]
+    spark.createDataFrame(sizes, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r[1] for r in rows(query("x04_document_sizes")(spark, str(tmp_path)))] == ["1024 KB", "1.0 MB", "30 MB", "5.0 GB", "Unknown size", "Unknown size"]
