@@ -121,10 +121,9 @@ def canonical_path(column: Column) -> Column:
     return F.when(column.isNull() | column.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(column, r"/+$", ""))
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Number of equal leading characters, by halving steps over the whole texts."""
+def _agree(a: Column, b: Column, part) -> Column:
+    """Largest length at which ``part(text, from, size)`` of both texts agree, by halving steps."""
     n = F.least(F.length(a), F.length(b))
-    part = lambda c, i, size: F.substring(c, i + 1, size)
     return F.aggregate(
         F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]),
         F.when(n.isNotNull(), 0),
@@ -132,9 +131,14 @@ def common_prefix(a: Column, b: Column) -> Column:
     )
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of equal leading characters."""
+    return _agree(a, b, lambda c, i, size: F.substring(c, i + 1, size))
+
+
 def common_suffix(a: Column, b: Column) -> Column:
     """Number of equal closing characters."""
-    return common_prefix(F.reverse(a), F.reverse(b))
+    return _agree(a, b, lambda c, i, size: F.substring(c, F.length(c) - i - size + 1, size))
 
 
 def word_bounds(text: Column, at: Column) -> Column:
