@@ -8,33 +8,50 @@ from pyspark.sql import functions as F
 from quirelake.runtime import cut
 
 
-def closure(nodes: DataFrame, node: str = "id", parent: str = "parent", depth: int = 64) -> DataFrame:
-    """``(id, ancestor, distance)``: every node with itself and all its ancestors.
+def _jumps(nodes: DataFrame, node: str, parent: str) -> list[DataFrame]:
+    """Tables ``(id, ancestor)``, the k-th with each node's ancestor at distance ``2**k``."""
+    known = nodes.select(F.col(node).alias("id")).where(F.col("id").isNotNull()).distinct()
+    edges = (
+        nodes.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node)))
+        .select(F.col(node).alias("id"), F.col(parent).alias("ancestor"))
+        .join(known.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi")
+        .select("id", "ancestor")
+        .distinct()
+    )
+    size = known.count()
+    jumps, reach = [cut(edges)], 1
+    while True:
+        last = jumps[-1]
+        further = last.select("id", F.col("ancestor").alias("mid")).join(last.select(F.col("id").alias("mid"), "ancestor"), "mid")
+        further = cut(further.select("id", "ancestor").distinct())
+        if further.isEmpty():
+            return jumps
+        reach *= 2
+        if reach >= size:
+            # no path is as long as there are nodes, so these walk in circles
+            kept = jumps[0].join(further.select("id").distinct(), "id", "left_anti")
+            return _jumps(known.join(kept, "id", "left").withColumnRenamed("ancestor", "parent"), "id", "parent")
+        jumps.append(further)
+
 
-    Distances double in each round (a path of length 2n is two of length n), so a tree of
-    depth d takes log2(d) joins, each keyed by node. Orphans' missing parents and cycles
-    end the walk: a row is only made for existing nodes and distances up to ``depth``.
+def closure(nodes: DataFrame, node: str = "id", parent: str = "parent", asked: DataFrame | None = None) -> DataFrame:
+    """``(id, ancestor, distance)``: every node with itself and all its ancestors, at any depth.
+
+    With ``asked`` (a table with ``id``) only for its nodes, and no other paths are built.
+    Paths double in each round by a table of jumps, so a tree of depth d takes log2(d) joins
+    keyed by node. Parents that are no nodes end the walk; nodes on a cycle or under one have
+    only themselves. Null ids are no nodes; of two parents both count.
     """
-    edges = nodes.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("id"), F.col(parent).alias("ancestor"))
-    known = nodes.select(F.col(node).alias("id")).distinct()
-    edges = edges.join(known.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").distinct()
-    step = edges.select("id", "ancestor", F.lit(1).alias("distance"))
-    paths, reach = step, 1
-    frontier = step
-    while reach < depth:
-        longer = (
-            frontier.select("id", F.col("ancestor").alias("mid"), F.col("distance").alias("d0"))
-            .join(paths.select(F.col("id").alias("mid"), "ancestor", F.col("distance").alias("d1")), "mid")
-            .select("id", "ancestor", (F.col("d0") + F.col("d1")).alias("distance"))
-            .where(F.col("distance") > reach)
-        )
-        longer = cut(longer.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
-        if longer.isEmpty():
-            break
-        paths = cut(paths.unionAll(longer).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
-        frontier = paths.where(F.col("distance") == reach * 2)
-        reach *= 2
-    return known.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionAll(paths)
+    jumps = _jumps(nodes, node, parent)
+    known = nodes.select(F.col(node).alias("id")).where(F.col("id").isNotNull()).distinct()
+    if asked is not None:
+        known = known.join(asked.select("id").distinct(), "id", "left_semi")
+    paths = known.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    for k, jump in enumerate(jumps):
+        longer = paths.select("id", F.col("ancestor").alias("mid"), "distance").join(jump.withColumnRenamed("id", "mid"), "mid")
+        longer = longer.select("id", "ancestor", (F.col("distance") + F.lit(2**k)).alias("distance"))
+        paths = cut(paths.unionAll(longer))
+    return paths.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def visible_counts(nodes: DataFrame) -> DataFrame:
@@ -48,7 +65,7 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 def top_selected(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected nodes none of whose ancestors is selected."""
-    above = closure(nodes).where("distance > 0")
+    above = closure(nodes, asked=selected).where("distance > 0")
     under = above.join(selected.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
     return selected.select("id").join(under, "id", "left_anti")
 

@@ -161,12 +161,13 @@ def a10_visible_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(_TREE + "SELECT id, CAST(max(distance) AS INT) AS depth, string_agg(ancestor::VARCHAR, '/' ORDER BY distance DESC) AS path FROM c GROUP BY id")
 def proj_p16_preorder(spark: SparkSession, folder: str) -> DataFrame:
     flat = trees.preorder(_tree(spark, folder))
-    return flat.select("id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+    return flat.select("id", F.col("depth").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
 @query(_TREE + "SELECT id, ancestor, CAST(distance AS INT) AS distance FROM c WHERE id % 10 = 7")
 def j25_active_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.closure(_tree(spark, folder)).where("id % 10 = 7")
+    t = _tree(spark, folder)
+    return trees.closure(t, asked=t.where("id % 10 = 7")).withColumn("distance", F.col("distance").cast("int"))
 
 
 @query(_TREE + "SELECT id FROM t WHERE id % 5 IN (1, 2) AND NOT EXISTS (SELECT 1 FROM c WHERE c.id = t.id AND c.distance > 0 AND c.ancestor % 5 IN (1, 2))")
