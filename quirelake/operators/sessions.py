@@ -4,8 +4,8 @@ A session of a key is a maximal run of events in which no two neighbours are mor
 ``gap`` apart. The events are first folded into buckets as wide as the gap: two events of
 one bucket are always less than the gap apart, so a bucket never holds a session border
 and its first event, last event and count stand for all its events. A key with a third
-of all rows thus reaches the window stage with at most one row per gap of covered time,
-and the folding itself is combined before the shuffle and keyed by (key, bucket).
+of all rows thus reaches the window stage with at most two points per gap of covered time.
+Copies are removed and buckets folded behind one shuffle by (key, bucket, salt).
 
 Borders are then found without a running state: a RANGE frame of one gap before a point
 that is empty marks a start, an empty frame of one gap behind it marks an end. The k-th
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quirelake.runtime import micros
 
 GAP_US = 30 * 60 * 1_000_000
+SALTS = 16
 
 
 def sessionize(
@@ -38,17 +39,22 @@ def sessionize(
     every row is an event. An empty table gives no rows. Other columns are ignored.
     """
     rows = events.where(F.col(key).isNotNull() & (F.col(key) != "") & F.col(at).isNotNull())
-    rows = rows.select(
-        F.col(key).alias("k"),
-        micros(F.col(at)).alias("t"),
-        *([F.col(row_id).alias("i")] if row_id else []),
-    )
+    rows = rows.select(F.col(key).alias("k"), micros(F.col(at)).alias("t"), *([F.col(row_id).alias("i")] if row_id else []))
+    rows = rows.withColumn("b", F.floor(F.col("t") / F.lit(gap_us)))
+    facts = [F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")]
     if row_id:
-        known = rows.where(F.col("i").isNotNull()).groupBy("i", "k", "t").agg(F.lit(1).alias("one"))
-        rows = known.select("k", "t").unionAll(rows.where(F.col("i").isNull()).select("k", "t"))
+        # one shuffle serves the removal of copies and the first folding; the salt splits a
+        # bucket that holds many events, and copies share it as they share the id
+        own = rows.withColumn("u", F.when(F.col("i").isNull(), F.monotonically_increasing_id()))
+        own = own.withColumn("salt", F.pmod(F.xxhash64("i", "u"), F.lit(SALTS))).repartition("k", "b", "salt")
+        part = own.groupBy("k", "b", "salt", "i", "u", "t").agg(F.lit(1).alias("one")).groupBy("k", "b", "salt").agg(*facts)
+    else:
+        part = rows.groupBy("k", "b").agg(*facts)
+    # at most SALTS rows a bucket go on to the key's own partition, where the rest happens
     folded = (
-        rows.groupBy("k", F.floor(F.col("t") / F.lit(gap_us)).alias("b"))
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+        part.repartition("k")
+        .groupBy("k", "b")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
         .select(
             "k",
             F.explode(
