@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import multires
+from quirelake.runtime import cut
 
 ALL = "*"
+CLEAR = 6  # standard errors from the border at which an estimate settles a cell
+WIDE = 16_384  # bits a level of the second bitmaps
+FEW = 100_000  # cells that may be broadcast, about 4 MB
 
 
 def _cells(df: DataFrame, *more: str) -> DataFrame:
@@ -45,50 +49,80 @@ def bitmaps(views: DataFrame, downloads: DataFrame) -> DataFrame:
     return own.unionByName(total)
 
 
-def estimates(views: DataFrame, downloads: DataFrame) -> DataFrame:
-    """``(view_day, country, n_views, visitors, low, high)``: estimates with three standard errors."""
+def _judged(cells: DataFrame, estimate: DataFrame, share: float, bits: int, by: str) -> DataFrame:
+    """``cells`` with their estimate, its bounds, and whether they lie clear of the border."""
     groups = ["view_day", "country"]
-    est = multires.estimate(bitmaps(views, downloads), groups)
-    e = 3 * multires.error_bound()
-    joined = view_counts(views).join(est, groups, "left")
-    v = F.coalesce("estimate", F.lit(0.0))
-    return joined.select(
-        *groups, F.col("n").alias("n_views"), v.alias("visitors"), (v * (1 - e)).alias("low"), (v * (1 + e)).alias("high")
+    v, border, e = F.coalesce("estimate", F.lit(0.0)), F.lit(share) * F.col("n"), multires.error_bound(bits)
+    return cells.join(estimate, groups, "left").select(
+        *groups,
+        "n",
+        v.alias("visitors"),
+        (v * (1 - 3 * e)).alias("low"),
+        (v * (1 + 3 * e)).alias("high"),
+        (v < border).alias("crowded"),
+        ((v < border * (1 - CLEAR * e)) | (v > border * (1 + CLEAR * e))).alias("clear"),
+        F.lit(by).alias("settled_by"),
     )
 
 
-def crowded_cells(
-    views: DataFrame, downloads: DataFrame, least_views: int = 60, share: float = 0.25
-) -> DataFrame:
-    """``(view_day, country)``: cells of enough views with few visitors for them.
+def settled_cells(views: DataFrame, downloads: DataFrame, least_views: int = 60, share: float = 0.25) -> DataFrame:
+    """``(view_day, country, n_views, visitors, low, high, crowded, settled_by)`` of all cells.
 
-    Bitmaps settle every cell whose estimate is clear of the border by six standard
-    errors; the cells whose estimate lies nearer are counted exactly. Visitors null or ''
-    are none, but their views count; rows without a time are in no cell. Empty tables
-    give no rows; a cell of views without any visitor is crowded.
+    Bitmaps of ``multires.BITS`` bits a level settle the cells whose estimate is clear of the
+    border ``share * n_views`` by ``CLEAR`` standard errors, and those with too few views to
+    matter; the others are counted with bitmaps of ``WIDE`` bits, and only what is still near
+    the border exactly. Each step reads the tables only for its own cells and is left out
+    when it has none. Visitors null or '' are none, but their views count; rows without a
+    time are in no cell. Empty tables give no rows. ``low`` and ``high`` are three standard
+    errors from the estimate, or the count itself.
     """
     groups = ["view_day", "country"]
-    est = multires.estimate(bitmaps(views, downloads), groups)
-    cells = view_counts(views).where(F.col("n") >= least_views).join(est, groups, "left")
-    v, border = F.coalesce("estimate", F.lit(0.0)), F.lit(share) * F.col("n")
-    slack = 6 * multires.error_bound()
-    judged = cells.select(
-        *groups, "n", (v < border * (1 - slack)).alias("surely"), (v <= border * (1 + slack)).alias("maybe")
-    ).where("maybe")
-    near = judged.where(~F.col("surely")).select(*groups, "n")
-    who = (
-        _cells(views, "visitor_hash")
-        .unionByName(_cells(downloads, "visitor_hash"))
-        .where(F.col("visitor_hash") != "")
-        .groupBy(*groups, "visitor_hash")
-        .agg(F.lit(1).alias("one"))
-    )
-    day_wide = who.groupBy("view_day", "visitor_hash").agg(F.lit(1).alias("one")).withColumn("country", F.lit(ALL))
-    exact = (
-        who.unionByName(day_wide)
-        .join(near, groups, "left_semi")
-        .groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    checked = near.join(exact, groups, "left").where(F.coalesce("m", F.lit(0)) < F.lit(share) * F.col("n"))
-    return judged.where("surely").select(*groups).unionAll(checked.select(*groups))
+    cells = view_counts(views)
+    # one row a cell, used again by every step
+    done = cut(_judged(cells, multires.estimate(bitmaps(views, downloads), groups), share, multires.BITS, "bitmap"))
+    near = done.where(~F.col("clear") & (F.col("n") >= least_views))
+    steps = [done.where(F.col("clear") | (F.col("n") < least_views))]
+
+    def visits(of: DataFrame, n: int) -> DataFrame:
+        both = _cells(views, "visitor_hash").unionByName(_cells(downloads, "visitor_hash")).where(F.col("visitor_hash") != "")
+        each = both.select("view_day", F.explode(F.array("country", F.lit(ALL))).alias("country"), "visitor_hash")
+        some = of.select(*groups)
+        return each.join(F.broadcast(some) if n <= FEW else some, groups, "left_semi")
+
+    n = near.count()
+    if n:
+        wide = multires.count_distinct(visits(near, n), groups, "visitor_hash", WIDE)
+        finer = cut(_judged(near.select(*groups, "n"), wide, share, WIDE, "wide bitmap"))
+        steps.append(finer.where("clear"))
+        near = finer.where(~F.col("clear"))
+        n = near.count()
+    if n:
+        # visitors of the cell: one row each, then a count
+        who = visits(near, n).groupBy(*groups, "visitor_hash").agg(F.lit(1).alias("one"))
+        exact = who.groupBy(*groups).agg(F.count(F.lit(1)).cast("double").alias("estimate"))
+        m = F.coalesce("estimate", F.lit(0.0))
+        last = near.select(*groups, "n").join(exact, groups, "left")
+        steps.append(
+            last.select(
+                *groups, "n", m.alias("visitors"), m.alias("low"), m.alias("high"),
+                (m < F.lit(share) * F.col("n")).alias("crowded"), F.lit(True).alias("clear"), F.lit("exact").alias("settled_by"),
+            )
+        )
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out.select(*groups, F.col("n").alias("n_views"), "visitors", "low", "high", "crowded", "settled_by")
+
+
+def estimates(views: DataFrame, downloads: DataFrame) -> DataFrame:
+    """``settled_cells`` of the default border: every cell, with how it was settled."""
+    return settled_cells(views, downloads)
+
+
+def crowded_cells(views: DataFrame, downloads: DataFrame, least_views: int = 60, share: float = 0.25) -> DataFrame:
+    """``(view_day, country)``: cells of enough views with few visitors for them.
+
+    A cell of views without any visitor is crowded. Everything else as in ``settled_cells``.
+    """
+    cells = settled_cells(views, downloads, least_views, share)
+    return cells.where(F.col("crowded") & (F.col("n_views") >= least_views)).select("view_day", "country")
