@@ -1,21 +1,26 @@
 """One form for text that looks the same.
 
-A weighted edit automaton walks tries of the corpus vocabulary: a step over a look-alike
-letter, a wide form, a ligature or a decomposed accent costs nothing, and so does staying
-put on an ignorable character; every other edit costs more than the automaton may spend.
-The words a token reaches are its possible canonical spellings and decide the script of
-its letters. Tokens that reach no word are normalised by table, in the script of their
-own unambiguous letters or else of the words beside them.
-
-The tries are sharded by the shape of the words (the spelling with look-alikes merged):
-all words that a token can reach at no cost share its shape, so tokens and vocabulary meet
-in one shuffle, and no vocabulary is broadcast.
+A weighted edit automaton walks tries of the corpus vocabulary with every doubtful token as
+it stands: a step over a look-alike letter, a wide form, a ligature or a decomposed accent
+costs nothing, and so does staying put on an ignorable character; every other edit costs
+one. The words it reaches within its budget are the token's possible canonical spellings:
+they decide the script of its letters, and the cheapest of them in that script, the one with
+the fewest letters turned and then the most frequent, is written in the token's case. Tokens
+that reach no word are normalised by table, in the script of their own unambiguous letters
+or else of the words beside them.
+
+The tries hold the whole vocabulary and are sharded by the first letters of the words with
+look-alikes merged, which no free step changes, so tokens and vocabulary meet in one
+shuffle, and no vocabulary is broadcast. A trie is the sorted list of its words, a node a
+range of it.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -53,7 +58,9 @@ ODD = rf"[{_UNSEEN}{_SPACES}{_WIDE}{_JOINED}KΩÅ]|\p{{Mn}}|[\x{{1D400}}-\x{
 def suspect(column):
     """Whether a value may have another form: odd characters, or letters of two scripts."""
     latin, cyrillic, greek = (column.rlike(rf"\p{{Is{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
-    return column.rlike(ODD) | (latin & (cyrillic | greek)) | (cyrillic & greek)
+    plain_only = F.octet_length(column) == F.length(column)
+    others = column.rlike(r"[\x{370}-\x{52F}]")
+    return ~plain_only & (column.rlike(ODD) | (others & ((latin & (cyrillic | greek)) | (cyrillic & greek))))
 
 
 _unseen, _space = regex.compile(f"[{_UNSEEN}]"), regex.compile(f"[{_SPACES}]")
@@ -92,21 +99,6 @@ def pieces(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def tokens(clusters: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    """Runs of letters, as index ranges of the clusters."""
-    runs, start = [], None
-    for i, (_, c) in enumerate(clusters):
-        if c[0].isalpha():
-            if start is None:
-                start = i
-        elif start is not None:
-            runs.append((start, i))
-            start = None
-    if start is not None:
-        runs.append((start, len(clusters)))
-    return runs
-
-
 def scripts(word: list[str]) -> set[str]:
     """Scripts in which the whole word can be written with the same look."""
     can = set()
@@ -116,11 +108,6 @@ def scripts(word: list[str]) -> set[str]:
     return can
 
 
-def shape(word: list[str]) -> str:
-    """The word with all look-alikes merged, in lower case."""
-    return "".join(TO_LATIN.get(c[0], c[0]) + c[1:] for c in word).casefold()
-
-
 def rewrite(word: list[str], script: str) -> list[str]:
     into = INTO[script]
     return [
@@ -128,167 +115,235 @@ def rewrite(word: list[str], script: str) -> list[str]:
     ]
 
 
+def _merged() -> dict[int, str]:
+    """Lower-case letters with all that may stand for them, in either case, made one."""
+    first: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while first.get(x, x) != x:
+            x = first[x]
+        return x
+
+    for a, b in TO_LATIN.items():
+        first[root(a.lower())] = root(b.lower())
+    return {ord(x): root(x) for x in first}
+
+
+_MERGED = _merged()
+KEY = 5  # letters of the key that tokens and words are sharded by
+
+
+def shard_key(letters: str) -> str:
+    """The first letters without accents, look-alikes merged; no free step of the automaton changes it."""
+    return "".join(c for c in unicodedata.normalize("NFD", letters) if not unicodedata.combining(c))[:KEY].lower().translate(_MERGED)
+
+
+def looks(ch: str) -> set[str]:
+    """The lower-case letters that ``ch``, in its own case, may stand for at no cost."""
+    return {ch.lower()} | {into[ch].lower() for into in INTO.values() if ch in into}
+
+
 class Trie:
-    """Vocabulary words by their decomposed letters; a node's words are kept with counts."""
+    """Vocabulary words by their decomposed letters, with counts, as a sorted list: a node is a
+    range of words that begin alike."""
 
     def __init__(self):
-        self.next: list[dict[str, int]] = [{}]
-        self.words: list[list[tuple[str, int]]] = [[]]
+        self.counts: dict[str, int] = {}
+        self.words: list[str] = []
 
     def add(self, word: str, count: int) -> None:
-        node = 0
-        for ch in unicodedata.normalize("NFD", word):
-            following = self.next[node].get(ch)
-            if following is None:
-                following = self.next[node][ch] = len(self.next)
-                self.next.append({})
-                self.words.append([])
-            node = following
-        self.words[node].append((word, count))
+        word = unicodedata.normalize("NFD", word)
+        self.counts[word] = self.counts.get(word, 0) + count
+
+    def _step(self, node: tuple[int, int, int], edge: str) -> tuple[int, int, int] | None:
+        lo, hi, depth = node
+        at = lambda w: w[depth : depth + 1]
+        lo = bisect_left(self.words, edge, lo, hi, key=at)
+        hi = bisect_right(self.words, edge, lo, hi, key=at)
+        return (lo, hi, depth + 1) if lo < hi else None
+
+    def _below(self, node: tuple[int, int, int]):
+        lo, hi, depth = node
+        if lo < hi and len(self.words[lo]) == depth:
+            lo += 1
+        while lo < hi:
+            edge = self.words[lo][depth]
+            following = self._step((lo, hi, depth), edge)
+            yield edge, following
+            lo = following[1]
 
     def reach(self, token: str, budget: int = 0) -> list[tuple[str, int, int]]:
-        """``(word, count, cost)`` of the words within ``budget`` edits of the token.
+        """``(word, count, cost)`` of the words within ``budget`` edits of the raw token.
 
         Look-alike steps and ignorable characters are free, a substitution, insertion or
         deletion of anything else costs one.
         """
-        states = {0: 0}
+        if len(self.words) != len(self.counts):
+            self.words = sorted(self.counts)
+        states = {(0, len(self.words), 0): 0}
 
-        def close(found: dict[int, int]) -> dict[int, int]:
-            queue = list(found)
+        def close(found):
+            queue = list(found) if budget else []
             while queue:
                 node = queue.pop()
                 if found[node] < budget:
-                    for following in self.next[node].values():
+                    for _, following in self._below(node):
                         if found[node] + 1 < found.get(following, budget + 1):
                             found[following] = found[node] + 1
                             queue.append(following)
             return found
 
         states = close(states)
-        for ch in unicodedata.normalize("NFD", token):
-            if _unseen.match(ch):
-                continue
-            looks, moved = _LOOKS.get(ch, {ch}), {}
+        for ch in visible(token):
+            free, moved = looks(ch), {}
             for node, cost in states.items():
                 if cost < budget:
                     moved[node] = min(moved.get(node, budget + 1), cost + 1)
-                for edge, following in self.next[node].items():
-                    total = cost + (edge not in looks)
-                    if total <= budget and total < moved.get(following, budget + 1):
+                    edges = [(f, cost + (e not in free)) for e, f in self._below(node)]
+                else:
+                    edges = [(f, cost) for e in free if (f := self._step(node, e))]
+                for following, total in edges:
+                    if total < moved.get(following, budget + 1):
                         moved[following] = total
             states = close(moved)
             if not states:
                 return []
-        return [(w, n, cost) for node, cost in states.items() for w, n in self.words[node]]
+        ended = ((self.words[lo], cost) for (lo, _, depth), cost in states.items() if len(self.words[lo]) == depth)
+        return [(unicodedata.normalize("NFC", w), self.counts[w], cost) for w, cost in ended]
 
 
-def _classes() -> dict[str, set[str]]:
-    groups = defaultdict(set)
-    for a, b in TO_LATIN.items():
-        groups[b.lower()] |= {a.lower(), b.lower()}
-    out: dict[str, set[str]] = {}
-    for members in groups.values():
-        for m in members:
-            out[m] = out.get(m, {m}) | members
-    return out
+def visible(token: str) -> str:
+    """The token's characters that are seen, decomposed and of plain width."""
+    return "".join(c for _, c in pieces(token))
 
 
-_LOOKS = _classes()
-
-
-def open_shapes(text: str | None) -> list[str]:
-    """Shapes of the tokens whose form the vocabulary is asked about."""
-    if not text:
-        return []
-    clusters, out = pieces(text), set()
-    for a, b in tokens(clusters):
-        word = [c for _, c in clusters[a:b]]
-        raw = text[clusters[a][0] : clusters[b - 1][0] + 1]
-        own = {script_of(c[0]) for c in word}
-        if len(own) > 1 or len(scripts(word)) > 1 and not own <= {"L"} or raw != "".join(word) and len(scripts(word)) > 1:
-            out.add(shape(word))
-        elif own == {"L"} and "C" in scripts(word):
-            out.add(shape(word))
-    return sorted(out)
-
-
-def plain_pieces(text: str, spellings: dict[str, list[tuple[str, int]]]) -> list[tuple[int, str]]:
-    """``(offset, plain characters)`` of a text; spellings: vocabulary words by shape."""
-    clusters = pieces(text)
-    runs = tokens(clusters)
-    words = [[c for _, c in clusters[a:b]] for a, b in runs]
-    can = [scripts(w) for w in words]
-    own = [{script_of(c[0]) for c in w} for w in words]
-
-    def sure(k: int) -> str | None:
-        """The script of a word that can have only one, by its letters."""
-        if len(can[k]) == 1:
-            return next(iter(can[k]))
-        if not can[k] and own[k] != {"O"}:
-            share = defaultdict(int)
-            for c in words[k]:
-                share[script_of(c[0])] += 1
-            return max(share, key=lambda s: share[s])
+def spelled(clusters: list[str], word: str) -> list[str] | None:
+    """``word`` cluster by cluster in the case of the token's; None if they don't pair up."""
+    own = [c for _, c in pieces(word)]
+    if len(own) != len(clusters) or any(len(a) != len(b) for a, b in zip(own, clusters)):
         return None
+    out = []
+    for c, w in zip(clusters, own):
+        first = c[0] if c[0].lower() == w[0] else w[0].upper() if c[0] != c[0].lower() else w[0]
+        out.append(unicodedata.normalize("NFC", first + w[1:]))
+    return out
+
+
+_RUN = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}{_UNSEEN}]*")
+
+
+@lru_cache(200_000)
+def _token(raw: str):
+    """Of a run of letters: offsets and clusters, own scripts, possible scripts, the sure one, whether the vocabulary is asked."""
+    found = pieces(raw)
+    word = [c for _, c in found]
+    own = {script_of(c[0]) for c in word}
+    can = scripts(word)
+    sure = None
+    if len(can) == 1:
+        sure = next(iter(can))
+    elif not can and own != {"O"}:
+        share: dict[str, int] = defaultdict(int)
+        for c in word:
+            share[script_of(c[0]) or "O"] += 1
+        sure = max(share, key=lambda x: share[x])
+    odd = "".join(unicodedata.normalize("NFC", c) for c in word) != raw
+    asked = odd or len(own) > 1 or len(can) > 1 and (own != {"L"} or "C" in can)
+    return [i for i, _ in found], word, own, can, sure, asked
 
-    firm = [sure(k) for k in range(len(words))]
+
+def asked_tokens(text: str | None) -> list[str]:
+    """The raw tokens whose spelling the vocabulary is asked about."""
+    return sorted({raw for raw in _RUN.findall(text or "") if _token(raw)[5]})
+
+
+def plain_pieces(text: str, spellings: dict[str, list[tuple[str, int, int]]]):
+    """``(offset, characters, pieces)`` of the parts of a text; pieces are ``(offset, plain
+    characters)`` from the part's start, or None for a part that stays as it is.
+
+    ``spellings``: the words that raw tokens reach, as ``(word, count, cost)``.
+    """
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    token = [_token(text[a:b]) for a, b in runs]
+    firm = [t[4] for t in token]
 
     def beside(k: int, step: int) -> str | None:
         j = k + step
-        while 0 <= j < len(words):
-            if firm[j] and not (firm[j] == "G" and len(words[j]) == 1):
+        while 0 <= j < len(token):
+            if firm[j] and firm[j] != "O" and not (firm[j] == "G" and len(token[j][1]) == 1):
                 return firm[j]
             j += step
         return None
 
     def touches(k: int, script: str) -> bool:
         """Whether the next word of the line, on either side, is one of the script."""
-        a, b = runs[k]
         return any(
-            0 <= j < len(runs) and firm[j] == script and "".join(c for _, c in clusters[x:y]) == " "
-            for j, x, y in ((k - 1, runs[k - 1][1], a), (k + 1, b, runs[k + 1][0] if k + 1 < len(runs) else b))
+            0 <= j < len(runs) and firm[j] == script and visible(text[x:y]) == " "
+            for j, x, y in ((k - 1, runs[k - 1][1], runs[k][0]), (k + 1, runs[k][1], runs[k + 1][0] if k + 1 < len(runs) else 0))
         )
 
-    out = [unicodedata.normalize("NFC", c) for _, c in clusters]
-    for k, (a, b) in enumerate(runs):
-        if own[k] == {"L"} and "C" not in can[k] or "O" in own[k]:
-            continue
-        script = firm[k]
-        if script is None:
-            known = defaultdict(int)
-            for w, n in spellings.get(shape(words[k]), []):
-                if (s := script_of(w[0])) in can[k]:
+    def form(k: int) -> list[str]:
+        _, word, own, can, script, asked = token[k]
+        as_is = [unicodedata.normalize("NFC", c) for c in word]
+        reached = spellings.get(text[runs[k][0] : runs[k][1]], [])
+        if "O" in own:
+            return as_is
+        if own == {"L"} and "C" not in can:
+            script = "L"
+        elif script is None:
+            known: dict[str, int] = defaultdict(int)
+            for w, n, _ in reached:
+                if (s := script_of(w[0])) in can:
                     known[s] += n
             left, right = beside(k, -1), beside(k, 1)
             around = {s for s in (left, right) if s}
-            now = next(iter(own[k])) if len(own[k]) == 1 else None
+            now = next(iter(own)) if len(own) == 1 else None
             if now:
                 # a word in one script is another script's only where that script is all around
                 # it and has the word
                 script = now
                 if len(around) == 1 and now not in around:
                     other = next(iter(around))
-                    lone = len(words[k]) == 1 and words[k][0][0] in LONE_GREEK
-                    if other in can[k] and not lone and (known.get(other, 0) if len(words[k]) > 1 else touches(k, other)):
+                    lone = len(word) == 1 and word[0][0] in LONE_GREEK
+                    if other in can and not lone and (known.get(other, 0) if len(word) > 1 else touches(k, other)):
                         script = other
             else:
                 best = [s for s in known if s in around] or list(known)
                 script = max(best, key=lambda s: known[s]) if best else (left or right or "L")
-                if script not in can[k]:
-                    script = next(iter(sorted(can[k], reverse=True)), "L")
-        if can[k] and script in can[k]:
-            out[a:b] = rewrite(words[k], script)
-        elif not can[k]:
-            # a word of two scripts that no single one can write: letters follow the majority
-            out[a:b] = rewrite(words[k], script)
-    return [(i, o) for (i, _), o in zip(clusters, out)]
+                if script not in can:
+                    script = next(iter(sorted(can, reverse=True)), "L")
+        # the cheapest spelling in that script: fewest edits, then fewest letters turned
+        offers = []
+        for w, n, cost in reached:
+            if script_of(w[0]) == script and (out := spelled(word, w)):
+                offers.append((cost, sum(a != b for a, b in zip(out, as_is)), -n, out))
+        if offers:
+            return min(offers)[3]
+        # no word is reached: by table; letters of a word that no single script can write
+        # follow the majority
+        return rewrite(word, script)
+
+    last = 0
+    for k, (a, b) in enumerate([*runs, (len(text), len(text))]):
+        gap = text[last:a]
+        if gap:
+            yield last, gap, None if gap.isascii() else pieces(gap)
+        last = b
+        if a < b:
+            plainly = not token[k][5] and (token[k][2] == {"L"} or "O" in token[k][2] or len(token[k][3]) == 1)
+            yield a, text[a:b], None if plainly else list(zip(token[k][0], form(k)))
 
 
 def plain(text: str, start: int = 0, stop: int | None = None, spellings: dict | None = None) -> str:
     """The one form of ``text[start:stop]``, read in the context of the whole text."""
     stop = len(text) if stop is None else stop
-    return "".join(c for i, c in plain_pieces(text, spellings or {}) if start <= i < stop)
+    out = []
+    for at, raw, made in plain_pieces(text, spellings or {}):
+        if made is None:
+            out.append(raw[max(0, start - at) : max(0, stop - at)])
+        else:
+            out += [c for i, c in made if start <= at + i < stop]
+    return "".join(out)
 
 
 def vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -298,28 +353,28 @@ def vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
     return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(pure)
 
 
-def _shapes_column(column):
+def _keys_column(column):
     @F.pandas_udf("string")
     def f(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: shape([c for _, c in pieces(w)]))
+        return words.map(shard_key)
 
     return f(column)
 
 
-def _open_column(column):
-    @F.pandas_udf("array<string>")
+def _asked_column(column):
+    @F.pandas_udf("array<struct<token:string,key:string>>")
     def f(texts: pd.Series) -> pd.Series:
-        return texts.map(open_shapes)
+        return texts.map(lambda t: [{"token": raw, "key": shard_key(visible(raw))} for raw in asked_tokens(t)])
 
     return f(column)
 
 
-def _match_shard(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _match_shard(key, asked, known):
     trie = Trie()
-    for w, n in zip(known["word"], known["n"]):
+    for w, n in zip(known["word"], known["n"]) if len(asked) else ():
         trie.add(w, int(n))
-    rows = [(t, w, n) for t in asked["shape"] for w, n, _ in trie.reach(t)]
-    return pd.DataFrame(rows, columns=["shape", "word", "n"])
+    rows = [(t, w, n, cost) for t in asked["token"] for w, n, cost in trie.reach(t)]
+    return pd.DataFrame(rows, columns=["token", "word", "n", "cost"])
 
 
 def canonical_values(values: DataFrame, corpus: DataFrame, shards: int | None = None) -> DataFrame:
@@ -331,32 +386,26 @@ def canonical_values(values: DataFrame, corpus: DataFrame, shards: int | None =
     form of their own and give no row; equal rows give one. Case, padding, line breaks,
     typographic quotes, dashes, superscripts and words of another script stay.
     """
-    odd = widen(values.where(suspect(F.col("whole"))).dropDuplicates(["field", "row_key"]))
+    odd = widen(values).where(suspect(F.col("whole"))).dropDuplicates(["field", "row_key"])
     if shards is None:  # as many tries as the session's shuffles are sized for
         shards = max(32, 4 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # read and asked about once: three branches start here, and suspects are few
-    asked = cut(odd.withColumn("open", _open_column("whole")))
-    shapes = asked.select(F.explode("open").alias("shape")).distinct()
-    known = vocabulary(corpus).withColumn("shape", _shapes_column("word"))
-    wanted = known.join(shapes, "shape", "left_semi")
-    shard = lambda df: df.withColumn("shard", F.pmod(F.xxhash64("shape"), F.lit(shards)))
-    met = (
-        shard(shapes)
-        .groupBy("shard")
-        .cogroup(shard(wanted).groupBy("shard"))
-        .applyInPandas(_match_shard, "shape string, word string, n long")
-    )
-    spelled = met.groupBy("shape").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    asked = cut(odd.withColumn("asked", _asked_column("whole")))
+    tokens = asked.select(F.explode("asked").alias("t")).select("t.token", "t.key").distinct()
+    known = vocabulary(corpus).withColumn("key", _keys_column("word"))
+    shard = lambda df: df.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    met = shard(tokens).cogroup(shard(known)).applyInPandas(_match_shard, "token string, word string, n long, cost int")
+    reached = met.groupBy("token").agg(F.collect_list(F.struct("word", "n", "cost")).alias("words"))
     keys = ["field", "row_key"]
-    asked_of = asked.select(*keys, F.explode("open").alias("shape")).join(spelled, "shape")
-    answers = asked_of.groupBy(*keys).agg(F.collect_list(F.struct("shape", "words")).alias("answers"))
+    asked_of = asked.select(*keys, F.explode("asked.token").alias("token")).join(reached, "token")
+    answers = asked_of.groupBy(*keys).agg(F.collect_list(F.struct("token", "words")).alias("answers"))
     joined = asked.join(answers, keys, "left")
 
     def settle(batches):
         for pdf in batches:
             rows = []
             for field, key, whole, skip, size, got in zip(*(pdf[c] for c in ("field", "row_key", "whole", "skip", "size", "answers"))):
-                words = {a["shape"]: [(w["word"], w["n"]) for w in a["words"]] for a in got} if got is not None else {}
+                words = {a["token"]: [(w["word"], w["n"], w["cost"]) for w in a["words"]] for a in got} if got is not None else {}
                 value = whole[skip : skip + size]
                 form = plain(whole, skip, skip + size, words)
                 if form != value:
