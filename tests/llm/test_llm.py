@@ -1,6 +1,7 @@
 import os
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,28 @@ def test_frequent_matches_counting(spark):
     assert {g[1] for g in got if g[0] == "b"} == {"x"}
 
 
+@pytest.mark.parametrize("share", [0.01, 0.001, 0.0001])
+def test_all_values_at_the_border_are_decoded(share):
+    rng = np.random.default_rng(8)
+    groups, n = frequent.groups_for(share), round(1 / share)
+    fps = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    counts = np.zeros((frequent.REPEATS, groups, frequent.POSITIONS, frequent.SYMBOLS), np.int32)
+    code = frequent.encode(fps)
+    for r in range(frequent.REPEATS):
+        np.add.at(counts[r], (frequent.group_of(fps, r, groups)[:, None], np.arange(frequent.POSITIONS), code), 50)
+    assert set(frequent.decode(counts, 45.0)) == set(fps.tolist())
+
+
+def test_frequent_at_a_small_share(spark):
+    # a thousand values on exactly the share, and as many rows of values seen once
+    half = spark.range(200_000).select("id", F.concat(F.lit("v"), F.col("id") % 1000).alias("a"))
+    rest = spark.range(200_000).select((F.col("id") + 500_000).alias("id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("a"))
+    got = {r["item"]: r["n"] for r in frequent.frequent(half.unionAll(rest), ["a"], 0.0005, "id").collect()}
+    assert got == {f"v{i}": 200 for i in range(1000)}
+    with pytest.raises(ValueError):
+        frequent.frequent(half, ["a"], 0.00001, "id")
+
+
 def test_frequent_of_nothing(spark):
     df = spark.createDataFrame([(1, None, "", 0, "k")], VIEWS)
     assert frequent.frequent(df, ["a", "b"]).count() == 0
@@ -71,6 +94,8 @@ def test_crowded_cells(spark):
     # FR: 50 visitors of 100 views; none: 10 of 100; all: 50 of 200
     assert got == {("1970-01-02", "")}
     assert visitors.crowded_cells(views.limit(0), downloads.limit(0)).count() == 0
+    cells = {r["country"]: (r["visitors"], r["settled_by"]) for r in visitors.settled_cells(views, downloads).collect()}
+    assert cells["*"] == (50.0, "exact") and cells["FR"][1] == cells[""][1] == "bitmap"
 
 
 # ---- tokens -------------------------------------------------------------------------------
@@ -141,6 +166,22 @@ def test_canonical_values(spark):
     values = spark.createDataFrame(rows, "field string, row_key string, whole string, skip int, size int")
     got = {tuple(r) for r in lookalike.canonical_values(values, corpus, shards=4).collect()}
     assert got == {("q", "1", "see cop here"), ("m", "5", "Word")}
+    # without the vocabulary the whole-Cyrillic word stays and the table writes the other
+    bare = {tuple(r) for r in lookalike.canonical_values(values, corpus.limit(0), shards=4).collect()}
+    assert bare == {("m", "5", "Word")}
+
+
+def test_spelling_comes_from_the_word_reached():
+    trie = lookalike.Trie()
+    for w, n in (("нос", 4), ("hoc", 1), ("café", 3)):
+        trie.add(w, n)
+    assert {w for w, _, _ in trie.reach("НОС")} == {"нос", "hoc"}
+    assert {w for w, _, _ in trie.reach("нос")} == {"нос"}
+    raw = "CAF\u200bE\u0301"
+    assert [(w, c) for w, _, c in trie.reach(raw)] == [("café", 0)]
+    assert lookalike.plain(f"a {raw} b", spellings={raw: trie.reach(raw)}) == "a CAFÉ b"
+    assert lookalike.shard_key("НОС") == lookalike.shard_key("hoc") == lookalike.shard_key("нос")
+    assert trie.reach("") == [] and lookalike.Trie().reach("x") == []
 
 
 # ---- language -----------------------------------------------------------------------------
@@ -251,7 +292,7 @@ def test_leaks(spark):
 def test_subjects(spark):
     law, sport = "The court read the verdict near the river.", "The goal was scored before the match at noon."
     docs = [(i, " ".join([law] * 3)) for i in range(8)] + [(10 + i, " ".join([sport] * 3)) for i in range(8)]
-    docs += [(30, law + " " + sport), (31, None), (32, "  "), (33, "Nothing known."), (34, "- verdict, court\n- verdict\n- goal")]
+    docs += [(30, law + " " + sport), (31, None), (32, "  "), (33, " "), (34, "- verdict, court\n- verdict\n- goal")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, "law") for i in range(6)] + [(10 + i, "sport") for i in range(6)] + [(0, "law"), (30, "law"), (30, "sport"), (99, "law"), (1, None)], "doc_id long, subject string")
     got = {tuple(r) for r in subjects.subjects(d, labels).select("doc_id", "subject").collect()}
@@ -260,6 +301,33 @@ def test_subjects(spark):
     assert subjects.subjects(d, labels.limit(0)).count() == 0
 
 
+def test_patterns_of_mixed_words_only():
+    tree = subjects.PatternTree(2)
+    for items, counts in ((("a", "b", "c"), (5, 0)), (("a", "c"), (0, 4)), (("a", "b"), (0, 3)), (("d", "e"), (3, 0))):
+        tree.add(items, np.array(counts, float))
+    got = {tuple(sorted(w)): tuple(n) for w, n in subjects.grow(tree, list(tree.nodes), 3)}
+    # {a, c} is in all entries of c and says no more than c; e is pure; {b, c} is mixed no more
+    assert got == {("b", "c"): (5.0, 0.0)}
+
+
+def test_repeated_long_sentence_is_mined_quickly(spark):
+    sentence = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)) + "."
+    d = spark.createDataFrame([(i, sentence) for i in range(4)] + [(9 + i, "Goal and match here.") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "law" if i else "sport") for i in range(4)] + [(9 + i, "sport") for i in range(4)], "doc_id long, subject string")
+    began = time.time()
+    rules, usual = subjects.mine(d, labels)
+    assert time.time() - began < 60 and usual == "sport"
+    assert {len(r[0]) for r in rules} == {1} and len({r[0] for r in rules}) == 404
+
+
+def test_every_text_has_a_subject(spark):
+    law, sport = "The court read the verdict near the river.", "The goal was scored before the match at noon."
+    d = spark.createDataFrame([(i, law if i < 6 else sport) for i in range(10)] + [(20, "Zxq wvu."), (21, "12345"), (22, " \n"), (23, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "law" if i < 6 else "sport") for i in range(10)], "doc_id long, subject string")
+    got = {r["doc_id"]: r["subject"] for r in subjects.subjects(d, labels).collect()}
+    assert got[20] == got[21] == "law" and 22 not in got and 23 not in got
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
