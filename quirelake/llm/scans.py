@@ -6,23 +6,30 @@ other numbers. What is left is running text; words broken over line ends are men
 
 A word is suspect when the corpus hardly has it outside of scans. Its candidates are the
 corpus words it could have been: the usual confusions of characters are undone, up to two
-in a word, and the results are joined with the counted vocabulary. Words known mostly from
+in a word, and what is left after a filter of the vocabulary is joined with it. Long words,
+for which that would be too many forms, meet the long words of the vocabulary in a third of
+their letters, as two confusions leave one third alone, and are then compared. Words known mostly from
 scans are candidates too, with a likelihood that falls with their share outside of scans. The probability of each
 confusion is estimated from the corpus: first decisions with equal probabilities are
 counted by confusion. For each line the most probable sequence is then decoded by Viterbi
 over its lattice of candidates, channel probability times smoothed bigram likelihood, with
-bigrams counted over all pages.
+bigrams counted over all pages. Of a line only the suspects and the words beside them enter
+the lattice: all other words are certain, and their factors are the same for every sequence.
 
-Vocabulary, candidates, bigrams and lattices are tables that are joined; none is broadcast
-or collected.
+Vocabulary, candidates, bigrams and lattices are tables that are joined. Tokens are never
+shuffled as such: words and bigrams (as 64-bit hashes) are counted before the shuffle, and
+lines are searched for suspects with a bit filter of fixed size. Broadcast are only such
+filters and the words of at least ``HEAVY`` of all tokens.
 """
 
 from __future__ import annotations
 
 from math import log
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +43,11 @@ CONFUSIONS = {
 }
 START_P = 2e-4  # each confusion before any is counted
 EDITS = 2
-LONGEST = 64  # longer tokens are no words of a language and stay as they are
+LONG = 24  # longer words are compared by thirds
+OFTENER = 3  # a candidate known outside of scans must be seen so many times, and so many times as often as the suspect
+FILTER = 1 << 25  # bits of the filters of words, 4 MB
+HEAVY = 1e-4  # share of all tokens from which a word's count is broadcast: at most 10 000 words
+WORDY = 8  # a line of more words is furniture only where it recurs in its file
 REAL = 0.004  # how many occurrences a never-seen word counts as
 KNOWN = 0.05  # share of occurrences outside of scans from which a word is no suspect and counts in full
 UNSEEN = 0.05  # what a word never seen outside of scans counts of that
@@ -62,7 +73,7 @@ def line_key(line: str) -> str:
 
 def may_recur(line: str) -> bool:
     s = line.strip()
-    return 0 < len(s) <= 60 and not _ENDS.search(s) and not _BREAK.search(s)
+    return bool(s) and not _ENDS.search(s) and not _BREAK.search(s)
 
 
 def furniture(lines: list[str], recurring: set[int]) -> list[bool]:
@@ -77,7 +88,7 @@ def furniture(lines: list[str], recurring: set[int]) -> list[bool]:
         if _NUMBER.match(s) or _PAGE_OF.match(s) or _STAMP.match(s):
             out[i] = True
             continue
-        if _BREAK.search(s) or len(s.split()) > 8:
+        if _BREAK.search(s) or len(s.split()) > WORDY and i not in recurring:
             continue
         if _LEADS.search(s):
             out[i] = True
@@ -142,8 +153,9 @@ def running_lines(lines: list[str], drop: list[bool]) -> tuple[list[list[str]],
     return out, keep
 
 
-def sources(word: str) -> list[tuple[str, str]]:
-    """``(candidate, confusions)`` of up to two undone confusions; confusions as 'wrong>right' joined by '|'."""
+def sources(word: str, known=lambda w: True) -> list[tuple[str, str]]:
+    """``(candidate, confusions)`` of up to two undone confusions, as far as they are ``known``;
+    confusions as 'wrong>right' joined by '|'."""
     found = {word: ""}
     layer = {word: ""}
     for _ in range(EDITS):
@@ -152,18 +164,84 @@ def sources(word: str) -> list[tuple[str, str]]:
             for i in range(len(w)):
                 for size in (1, 2):
                     wrong = w[i : i + size]
-                    if len(wrong) < size or wrong not in CONFUSIONS:
+                    if len(wrong) < size or wrong not in _UNDONE:
                         continue
-                    for right in CONFUSIONS[wrong].split():
+                    for right in _UNDONE[wrong]:
                         c = w[:i] + right + w[i + size :]
                         if c not in found and c not in following:
                             following[c] = f"{how}|{wrong}>{right}" if how else f"{wrong}>{right}"
         found.update(following)
         layer = following
-        if len(word) > 24:
-            break
     found.pop(word)
-    return [(c, how) for c, how in found.items() if c.replace("-", "").replace("’", "").replace("'", "").isalpha()]
+    return [(c, how) for c, how in found.items() if known(c) and _lettered(c)]
+
+
+def _lettered(word: str) -> bool:
+    return word.replace("-", "").replace("’", "").replace("'", "").isalpha()
+
+
+_UNDONE = {wrong: right.split() for wrong, right in CONFUSIONS.items()}
+
+
+def explain(word: str, right: str, edits: int = EDITS) -> str | None:
+    """The confusions that make ``word`` of ``right``, written as in ``sources``; None beyond ``edits``."""
+    if word == right:
+        return ""
+    if not edits or abs(len(word) - len(right)) > edits:
+        return None
+    same = next((i for i, (a, b) in enumerate(zip(word, right)) if a != b), min(len(word), len(right)))
+    # one of the confusions lies at the first difference, another may have prepared it beside it
+    for i in range(max(0, same - 2), min(len(word), same + 3)):
+        for wrong in {word[i : i + 1], word[i : i + 2]}:
+            for meant in _UNDONE.get(wrong, ()):
+                rest = explain(word[:i] + meant + word[i + len(wrong) :], right, edits - 1)
+                if rest is not None:
+                    return f"{wrong}>{meant}|{rest}" if rest else f"{wrong}>{meant}"
+    return None
+
+
+def _thirds(n: int) -> list[tuple[int, int]]:
+    return [(n * k // 3, n * (k + 1) // 3) for k in range(3)]
+
+
+def third_keys(word: str, of_vocabulary: bool) -> list[int]:
+    """Hashes of (length, third, letters): a word's own thirds, or all that a word it was may have."""
+    out = set()
+    for n in (len(word),) if of_vocabulary else range(len(word) - EDITS, len(word) + EDITS + 1):
+        for k, (a, b) in enumerate(_thirds(n)):
+            for shift in (0,) if of_vocabulary else range(-EDITS, EDITS + 1):
+                if 0 <= a + shift and b + shift <= len(word):
+                    out.add(_signed_hash(f"{n} {k} {word[a + shift : b + shift]}"))
+    return sorted(out)
+
+
+def word_hash(word: str, seed: int = 42) -> int:
+    """The engine's own 64-bit hash of a string, without sign."""
+    return xxhash.xxh64_intdigest(word.encode(), seed)
+
+
+def _signed_hash(word: str, seed: int = 42) -> int:
+    h = word_hash(word, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def pair_hash(a: str, b: str) -> int:
+    """The engine's hash of two columns."""
+    return _signed_hash(b, word_hash(a))
+
+
+def _filter(words: DataFrame) -> bytes:
+    """A bit for each word's hash: FILTER bits, whatever the number of words."""
+    h = F.pmod(F.xxhash64("word"), F.lit(FILTER))
+    rows = words.groupBy(F.floor(h / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(word), 64) AS int))")).alias("bits")).toPandas()
+    table = np.zeros(FILTER // 64, np.int64)
+    table[rows["w"]] = rows["bits"]
+    return table.tobytes()
+
+
+def _in(bits: bytes, word: str) -> int:
+    h = word_hash(word) & (FILTER - 1)
+    return bits[h >> 3] >> (h & 7) & 1
 
 
 def _lines_of(text: str | None) -> list[str]:
@@ -177,8 +255,9 @@ def _edge_rows(batches):
 
 
 def _wrapped_column(column):
-    """Whether a sentence, or even a word, runs on in the next line."""
-    return column.rlike(r"\p{L}[-¬=,\x{AD}]? *\n *\p{Ll}")
+    """Whether a sentence, or even a word, runs on in the next line; in a script without case,
+    whether three lines follow each other that do not end a sentence."""
+    return column.rlike(r"\p{L}[-¬=,\x{AD}]? *\n *\p{Ll}") | column.rlike(r"\p{Lo} *\n *\p{Lo}[^\n]*\p{Lo} *\n *\p{Lo}")
 
 
 def _parse_rows(batches):
@@ -189,31 +268,51 @@ def _parse_rows(batches):
             drop = furniture(lines, set(recurring) if recurring is not None else set()) if scan else [False] * len(lines)
             tokens, _ = running_lines(lines, drop)
             pieces = sorted({regex.sub(r"\s+", " ", s.strip()) for s, d in zip(lines, drop) if d})
-            rows.append((page, bool(scan), pieces, tokens))
+            rows.append((page, bool(scan), pieces, "\n".join(map(" ".join, tokens))))
         yield pd.DataFrame(rows, columns=["page_id", "scan", "furniture", "lines"])
 
 
-def _sources_column(column):
+def _sources_column(column, bits):
     @F.pandas_udf("array<struct<cand:string,how:string>>")
     def f(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: [{"cand": c, "how": h} for c, h in sources(w)])
+        own = bits.value
+        return words.map(lambda w: [{"cand": c, "how": h} for c, h in sources(w, lambda x: _in(own, x))])
+
+    return f(column)
+
+
+def _thirds_column(column, of_vocabulary: bool):
+    @F.pandas_udf("array<long>")
+    def f(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: third_keys(w, of_vocabulary))
 
     return f(column)
 
 
+def _explain_column(word, cand):
+    @F.pandas_udf("string")
+    def f(words: pd.Series, cands: pd.Series) -> pd.Series:
+        return pd.Series([explain(w, c) if _lettered(c) else None for w, c in zip(words, cands)], dtype=object)
+
+    return f(word, cand)
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """``(page_id, scan, furniture, lines)``; a file is a scan when sentences or words are broken over its lines."""
+    """``(page_id, scan, furniture, lines)``; a file is a scan when sentences or words are broken
+    over its lines. ``lines`` holds the running lines' tokens, set apart by spaces and line breaks."""
     base = pages.where(F.col("text").isNotNull() & (F.col("text") != "")).select(
         "page_id", F.coalesce("pdf_path", F.lit("")).alias("file"), "text"
     )
     base = widen(base)
-    scans = base.where(_wrapped_column(F.col("text"))).select("file").distinct().withColumn("scan", F.lit(True))
-    marked = base.join(scans, "file", "left").withColumn("scan", F.coalesce("scan", F.lit(False)))
-    edges = marked.where("scan").select("file", "page_id", "text").mapInPandas(_edge_rows, "file string, key string, page_id long, at int")
+    # what is known of pages by their files is joined without the texts
+    light = base.select("page_id", "file", _wrapped_column(F.col("text")).alias("wrapped"))
+    scans = light.where("wrapped").select("file").distinct().withColumn("scan", F.lit(True))
+    edges = base.mapInPandas(_edge_rows, "file string, key string, page_id long, at int").join(scans, "file", "left_semi")
     often = edges.groupBy("file", "key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("file", "key")
     recurring = edges.join(often, ["file", "key"]).groupBy("page_id").agg(F.collect_set("at").alias("recurring"))
-    ready = marked.join(recurring, "page_id", "left").select("page_id", "text", "scan", "recurring")
-    return ready.mapInPandas(_parse_rows, "page_id long, scan boolean, furniture array<string>, lines array<array<string>>")
+    flags = light.select("page_id", "file").join(scans, "file").select("page_id", "scan").distinct().join(recurring, "page_id", "left")
+    ready = base.join(flags, "page_id", "left").select("page_id", "text", F.coalesce("scan", F.lit(False)).alias("scan"), "recurring")
+    return ready.mapInPandas(_parse_rows, "page_id long, scan boolean, furniture array<string>, lines string")
 
 
 def _weighted(options: DataFrame) -> DataFrame:
@@ -239,49 +338,46 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = pages.sparkSession
     parsed = cut(parse(pages))
-    tokens = parsed.select("page_id", "scan", F.posexplode("lines").alias("line", "tokens"))
-    flat = tokens.select("page_id", "scan", "line", F.posexplode("tokens").alias("at", "raw"))
-    whole = flat.where(~F.contains("raw", F.lit("\u0001")))
-    counts = whole.groupBy(F.col("raw").alias("word")).agg(
+    tokens = parsed.select("scan", F.explode(F.split("lines", r"[ \n]+")).alias("word"))
+    counts = tokens.where((F.col("word") != "") & ~F.contains("word", F.lit("\u0001"))).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("scan"), 1).otherwise(0)).alias("clean")
     )
     counts = cut(counts)
     size = counts.agg(F.sum("n")).collect()[0][0] or 1
 
     # broken words: the vocabulary tells whether the hyphen belongs to the word
-    broken = flat.where(F.contains("raw", F.lit("\u0001"))).select(
-        "page_id", "line", "at", F.replace("raw", F.lit("\u0001"), F.lit("")).alias("joined"), F.replace("raw", F.lit("\u0001"), F.lit("-")).alias("dashed")
-    )
-    forms = broken.select("joined", "dashed").distinct()
+    broken = parsed.select(F.explode(F.regexp_extract_all("lines", F.lit("([^ \\n]*\u0001[^ \\n]*)"))).alias("raw")).distinct()
     n_of = lambda name: counts.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
     forms = (
-        forms.join(n_of("joined"), "joined", "left")
+        broken.select("raw", F.replace("raw", F.lit("\u0001"), F.lit("")).alias("joined"), F.replace("raw", F.lit("\u0001"), F.lit("-")).alias("dashed"))
+        .join(n_of("joined"), "joined", "left")
         .join(n_of("dashed"), "dashed", "left")
-        .select(
-            "joined",
-            "dashed",
-            F.when(F.coalesce("n_dashed", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("dashed")).otherwise(F.col("joined")).alias("word"),
-        )
+        .select("raw", F.when(F.coalesce("n_dashed", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("dashed")).otherwise(F.col("joined")).alias("word"))
     )
-    mended = broken.join(forms, ["joined", "dashed"]).select("page_id", "line", "at", "word")
-    running = (
-        whole.where("scan").select("page_id", "line", "at", F.col("raw").alias("word"), F.lit(False).alias("broken"))
-        .unionAll(mended.select("page_id", "line", "at", "word", F.lit(True)))
+    forms = cut(forms)
+
+    # suspects: words of scans that the corpus hardly has outside of them
+    mended = forms.select("word").distinct().join(counts, "word", "left_anti").select("word", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("clean"))
+    suspects = (
+        counts.where("n > clean AND clean * 20 <= n")
+        .unionAll(mended)
+        .where((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}"))
+        .select("word", F.col("n").alias("n_word"), F.col("clean").alias("clean_word"))
     )
-
-    # suspects: words the corpus hardly has outside of scans
-    seen = running.select("word").distinct().join(counts, "word", "left")
-    suspects = seen.where(
-        F.length("word").between(2, LONGEST) & F.col("word").rlike(r"\p{L}") & (F.coalesce("clean", F.lit(0)) * 20 <= F.coalesce("n", F.lit(0)))
-    ).select("word", F.coalesce("n", F.lit(0)).alias("n_word"), F.coalesce("clean", F.lit(0)).alias("clean_word"))
+    suspects = cut(suspects)
+    short, long = suspects.where(F.length("word") <= LONG), suspects.where(F.length("word") > LONG)
+    bits = spark.sparkContext.broadcast(_filter(counts))
+    made = short.withColumn("c", F.explode(_sources_column("word", bits))).select("word", "n_word", "clean_word", F.col("c.cand").alias("cand"), F.col("c.how").alias("how"))
+    vocabulary = counts.where(F.length("word") > LONG - EDITS).select(F.col("word").alias("cand"), F.explode(_thirds_column("word", True)).alias("k"))
+    met = long.withColumn("k", F.explode(_thirds_column("word", False))).join(vocabulary, "k").where("word <> cand").drop("k").distinct()
+    met = met.withColumn("how", _explain_column("word", "cand")).where(F.col("how").isNotNull()).select("word", "n_word", "clean_word", "cand", "how")
     options = (
-        suspects.withColumn("c", F.explode(_sources_column("word")))
-        .select("word", "n_word", "clean_word", F.col("c.cand").alias("cand"), F.col("c.how").alias("how"))
+        made.unionAll(met)
         .join(counts.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"), F.col("clean").alias("clean_cand")), "cand")
         .withColumn("known", F.col("clean_cand") / F.col("n_cand") > KNOWN)
         .where(
             F.col("word").rlike(r"\d")
-            | F.col("known") & (F.col("n_cand") > F.col("n_word") * 3) & (F.col("n_cand") >= 3)
+            | F.col("known") & (F.col("n_cand") > F.col("n_word") * OFTENER) & (F.col("n_cand") >= OFTENER)
             | (F.col("n_cand") > F.col("n_word") * RARER)
         )
     )
@@ -305,28 +401,26 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .agg(F.collect_list(F.struct("cand", (F.col("logp") + F.col("weight")).alias("logp"), "n_cand")).alias("cands"))
     )
 
-    # lattices of the lines that hold a suspect
-    held = running.join(states, "word").select("page_id", "line", "at", "word", "clean_word", "cands")
-    touched = held.groupBy("page_id", "line").agg(F.collect_list(F.struct("at", "word", "clean_word", "cands")).alias("suspects"))
-    texts = (
-        running.join(touched.select("page_id", "line"), ["page_id", "line"], "left_semi")
-        .join(counts.select("word", "n"), "word", "left")
-        .groupBy("page_id", "line")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(1)).alias("n")))).alias("tokens"))
-    )
-    lattice = cut(texts.join(touched, ["page_id", "line"]))
-    pairs = lattice.select(F.explode(_pairs_column("tokens", "suspects")).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
-    grams = tokens.select(F.explode(F.expr("transform(sequence(1, greatest(size(tokens) - 1, 1)), i -> struct(get(tokens, i - 1) AS a, get(tokens, i) AS b))")).alias("g"))
-    bigrams = grams.select("g.a", "g.b").where("a IS NOT NULL AND b IS NOT NULL").join(pairs, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    asked = (
-        lattice.select("page_id", "line", F.explode(_pairs_column("tokens", "suspects")).alias("p"))
-        .select("page_id", "line", "p.a", "p.b")
-        .join(bigrams, ["a", "b"])
+    # the suspects of the lines, found with a filter and then by join
+    states = cut(states)
+    asked = spark.sparkContext.broadcast(_filter(states))
+    hits = cut(parsed.where("scan").select("page_id", "lines").mapInPandas(_hit_rows(asked), "page_id long, line int, at int, raw string, before string, after string"))
+    placed = hits.join(forms, "raw", "left").withColumn("word", F.coalesce("word", "raw"))
+    lattice = cut(
+        placed.join(states, "word")
         .groupBy("page_id", "line")
-        .agg(F.collect_set(F.struct("a", "b", "n")).alias("bigrams"))
+        .agg(F.collect_list(F.struct("at", "word", "before", "after", "clean_word", "cands")).alias("suspects"))
     )
-    decoded = lattice.join(asked, ["page_id", "line"], "left").mapInPandas(_viterbi_rows(size), "page_id long, line int, at int, word string, right string")
+    # counts of single words and of pairs, by hash; those of the most frequent words go to all
+    heavy = spark.sparkContext.broadcast({r["word"]: r["n"] for r in counts.where(F.col("n") >= F.lit(HEAVY * size)).select("word", "n").collect()})
+    line = parsed.select(F.explode(F.split("lines", "\n")).alias("line")).select(F.split("line", " ").alias("t"))
+    pairs = line.select(F.explode(F.expr("transform(slice(t, 1, size(t) - 1), (x, i) -> xxhash64(x, t[i + 1]))")).alias("h")).select("h", F.lit(1).cast("long").alias("n"))
+    grams = pairs.unionAll(counts.select(F.xxhash64("word").alias("h"), "n")).groupBy("h").agg(F.sum("n").alias("n"))
+    wanted = lattice.mapInPandas(_asks(heavy), "page_id long, line int, h long")
+    answers = wanted.join(grams, "h").groupBy("page_id", "line").agg(F.collect_list(F.struct("h", "n")).alias("grams"))
+    decoded = lattice.join(answers, ["page_id", "line"], "left").mapInPandas(_viterbi_rows(float(size), heavy), "page_id long, line int, at int, word string, right string")
     decoded = cut(decoded)
+    mended = placed.where(F.contains("raw", F.lit("\u0001"))).select("page_id", "line", "at", "word")
     split = (
         mended.join(decoded.select("page_id", "line", "at", "right"), ["page_id", "line", "at"], "left")
         .select("page_id", F.coalesce("right", "word").alias("piece"))
@@ -343,28 +437,64 @@ def _options(word: str, clean: float, cands) -> list[tuple[str, float, float]]:
     return [(word, 0.0, itself)] + [(c["cand"], c["logp"], float(c["n_cand"])) for c in cands]
 
 
-def _lattice(tokens, suspects) -> list[list[tuple[str, float, float]]]:
-    by_at = {s["at"]: s for s in suspects}
-    return [
-        _options(t["word"], float(by_at[t["at"]]["clean_word"]), by_at[t["at"]]["cands"]) if t["at"] in by_at else [(t["word"], 0.0, float(t["n"]))]
-        for t in tokens
-    ]
+def _hit_rows(asked):
+    """The broken words and, as far as the filter can tell, the suspects of the lines, with the words beside them."""
+
+    def run(batches):
+        bits, known = asked.value, {}
+        for pdf in batches:
+            rows = []
+            for page, lines in zip(pdf["page_id"], pdf["lines"]):
+                for k, line in enumerate(lines.split("\n")):
+                    some = line.split()
+                    for at, raw in enumerate(some):
+                        hit = known.get(raw)
+                        if hit is None:
+                            hit = "\u0001" in raw or bool(_in(bits, raw))
+                            if len(known) < 400_000:
+                                known[raw] = hit
+                        if hit:
+                            rows.append((page, k, at, raw, some[at - 1] if at else None, some[at + 1] if at + 1 < len(some) else None))
+            yield pd.DataFrame(rows, columns=["page_id", "line", "at", "raw", "before", "after"])
+
+    return run
 
 
-def _pairs(line, some) -> list[dict[str, str]]:
-    cells, out = _lattice(line, some), set()
-    for left, right in zip(cells, cells[1:]):
-        if len(left) > 1 or len(right) > 1:
-            out |= {(a, b) for a, _, _ in left for b, _, _ in right}
-    return [{"a": a, "b": b} for a, b in out]
+def lattice_cells(suspects) -> list[tuple[int, list[tuple[str, float, float | None]]]]:
+    """``(place, states)`` of a line's suspects and of the words beside them, whose count is None."""
+    found = {x["at"]: _options(x["word"], float(x["clean_word"]), x["cands"]) for x in suspects}
+    for x in suspects:
+        for at, word in ((x["at"] - 1, x["before"]), (x["at"] + 1, x["after"])):
+            if word is not None and at not in found:
+                found[at] = [(word.replace("\u0001", ""), 0.0, None)]
+    return sorted(found.items())
 
 
-def _pairs_column(tokens, suspects):
-    @F.pandas_udf("array<struct<a:string,b:string>>")
-    def f(t: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([_pairs(x, y) for x, y in zip(t, s)])
+def _neighbours(cells, own: set[str]):
+    """Pairs of states that stand beside each other; a suspect's own pairs are its errors' and speak for nothing."""
+    for (i, left), (j, right) in zip(cells, cells[1:]):
+        if j == i + 1 and (len(left) > 1 or len(right) > 1):
+            for a, _, _ in left:
+                for b, _, _ in right:
+                    if a not in own and b not in own:
+                        yield a, b
 
-    return f(tokens, suspects)
+
+def _asks(heavy):
+    def run(batches):
+        frequent = heavy.value
+        for pdf in batches:
+            pages, lines, hashes = [], [], []
+            for page, line, suspects in zip(pdf["page_id"], pdf["line"], pdf["suspects"]):
+                cells = lattice_cells(suspects)
+                want = {pair_hash(a, b) for a, b in _neighbours(cells, {x["word"] for x in suspects})}
+                want |= {_signed_hash(w) for _, cell in cells for w, _, n in cell if n is None and w not in frequent}
+                pages += [page] * len(want)
+                lines += [line] * len(want)
+                hashes += want
+            yield pd.DataFrame({"page_id": np.array(pages, np.int64), "line": np.array(lines, np.int32), "h": np.array(hashes, np.int64)})
+
+    return run
 
 
 def viterbi(cells: list[list[tuple[str, float, float]]], bigrams: dict[tuple[str, str], int], size: float) -> list[str]:
@@ -391,16 +521,18 @@ def viterbi(cells: list[list[tuple[str, float, float]]], bigrams: dict[tuple[str
     return out[::-1]
 
 
-def _viterbi_rows(size: float):
+def _viterbi_rows(size: float, heavy):
     def run(batches):
+        frequent = heavy.value
         for pdf in batches:
             rows = []
-            for page, line, tokens, suspects, bigrams in zip(*(pdf[c] for c in ("page_id", "line", "tokens", "suspects", "bigrams"))):
-                # a suspect's own pairs are its errors' pairs and speak for nothing
-                own = {x["word"] for x in suspects}
-                known = {(g["a"], g["b"]): g["n"] for g in bigrams if not {g["a"], g["b"]} & own} if bigrams is not None else {}
-                forms = viterbi(_lattice(tokens, suspects), known, float(size))
-                rows += [(page, line, t["at"], t["word"], f) for t, f in zip(tokens, forms) if f != t["word"]]
+            for page, line, suspects, grams in zip(*(pdf[c] for c in ("page_id", "line", "suspects", "grams"))):
+                n_of = {g["h"]: g["n"] for g in grams} if grams is not None else {}
+                cells = lattice_cells(suspects)
+                pairs = {(a, b): n_of.get(pair_hash(a, b), 0) for a, b in _neighbours(cells, {x["word"] for x in suspects})} if n_of else {}
+                states = [[(w, p, float(frequent.get(w) or n_of.get(_signed_hash(w), 1)) if n is None else n) for w, p, n in cell] for _, cell in cells]
+                forms = dict(zip((at for at, _ in cells), viterbi(states, pairs, size)))
+                rows += [(page, line, x["at"], x["word"], forms[x["at"]]) for x in suspects if forms[x["at"]] != x["word"]]
             yield pd.DataFrame(rows, columns=["page_id", "line", "at", "word", "right"])
 
     return run
