@@ -2,13 +2,21 @@
 
 Texts are read as streams of letters and digits only, in one form (case, width, look-alike
 letters, accents' encoding), so spacing, line breaks and punctuation cannot hide a quote.
-Every item is cut into windows of ``WINDOW`` characters at all offsets and every document
-at each ``STRIDE``-th, so an unchanged stretch of ``WINDOW + STRIDE`` characters always
-lines up. A window is fingerprinted by the SimHash of its character shingles. Four blocks
-of 16 bits index the items' fingerprints: two fingerprints at a Hamming distance of up to
-three agree in at least one block, so all of them are found. A candidate pair is then
-verified exactly: the shingles of ``SHINGLE`` characters the item and the document share
-are joined into runs, and the heaviest chain of runs in the item's order, each shingle
+A window is fingerprinted by the SimHash of its character shingles, and windows of three
+sizes are compared:
+
+* ``item``: windows as long as the item (items are sorted into size classes, and documents
+  are cut by every class that occurs), for items quoted whole, with changed words or not;
+* ``half``: windows half as long, at every eighth of their length, for half an item in one
+  stretch;
+* ``small``: windows of ``WINDOW`` characters, an addition for items in several stretches,
+  which no window of the item's size resembles.
+
+A multi-index finds every fingerprint within the radius: it is cut into blocks, and the
+items' keys are held with all keys that differ in up to ``slack`` bits, so two fingerprints
+at a distance of up to ``blocks * (slack + 1) - 1`` agree in at least one. A candidate pair
+is then verified exactly: the shingles of ``SHINGLE`` characters the item and the document
+share are joined into runs, and the heaviest chain of runs in the item's order, each shingle
 weighted by the characters it newly covers, must hold the required share of the item.
 
 The item table is small and given; its fingerprints go to the workers in blocks of
@@ -21,6 +29,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections import defaultdict
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -32,7 +41,10 @@ from quirelake.runtime import widen
 
 WINDOW, STRIDE, GRAM = 24, 4, 4
 SHINGLE = 12
-RADIUS = 3
+STEP = 1.25  # ratio of neighbouring size classes of items
+PARTS = 16  # windows of an item's size begin at every sixteenth of it, those of half its size too
+LEVELS = ("item", "half", "small")
+EXPAND = 1 << 20  # candidates looked at together
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 4_000_000
 _TABLE = {ord(a): b for a, b in TO_LATIN.items()}
@@ -65,54 +77,105 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
 
 
-def fingerprints(s: str, every: int) -> np.ndarray:
-    """SimHash of each window that starts at a multiple of ``every`` (1 or STRIDE)."""
-    grams = WINDOW - GRAM + 1
-    if len(s) < WINDOW:
-        return np.empty(0, np.uint64)
+def _sums(s: str) -> np.ndarray:
+    """Running sums of the shingles' bits."""
+    if len(s) < GRAM:
+        return np.zeros((1, 64), np.int32)
     bits = _gram_bits(s)
     total = np.zeros((len(bits) + 1, 64), np.int32)
     np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
-    starts = np.arange(0, len(s) - WINDOW + 1, every)
-    return _pack(total[starts + grams] - total[starts])
+    return total
+
+
+def fingerprints(total: np.ndarray, window: int, every: int) -> np.ndarray:
+    """SimHash of each window of a text, given by its running sums, that starts at a multiple of ``every``."""
+    grams = window - GRAM + 1
+    starts = np.arange(0, len(total) - grams, every)
+    return _pack(total[starts + grams] - total[starts]) if len(starts) else np.empty(0, np.uint64)
+
+
+class MultiIndex:
+    """Fingerprints with owners, found by blocks."""
+
+    def __init__(self, prints: np.ndarray, owner: np.ndarray, blocks: int, slack: int):
+        self.prints, self.owner = prints, owner
+        self.radius = blocks * (slack + 1) - 1
+        edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+        self.blocks = []
+        for lo, hi in zip(edges, edges[1:]):
+            width = int(hi - lo)
+            key = self._key(prints, lo, width)
+            keys, at = [key], [np.arange(len(prints))]
+            for bit in range(width if slack else 0):
+                keys.append(key ^ (1 << bit))
+                at.append(np.arange(len(prints)))
+            keys, at = np.concatenate(keys), np.concatenate(at)
+            order = np.argsort(keys, kind="stable")
+            self.blocks.append((lo, width, at[order], np.searchsorted(keys[order], np.arange((1 << width) + 1))))
+
+    @staticmethod
+    def _key(prints: np.ndarray, lo: int, width: int) -> np.ndarray:
+        return ((prints >> np.uint64(lo)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(position in prints, owner)`` of all pairs within the radius, in parts of EXPAND candidates."""
+        where, who = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for lo, width, at, starts in self.blocks:
+            key = self._key(prints, lo, width)
+            n = starts[key + 1] - starts[key]
+            upto = np.cumsum(n)
+            for a in range(0, int(n.sum()), EXPAND):
+                i = np.arange(a, min(a + EXPAND, int(upto[-1])))
+                src = np.searchsorted(upto, i, "right")
+                cand = at[starts[key[src]] + i - (upto[src] - n[src])]
+                hit = np.bitwise_count(prints[src] ^ self.prints[cand]) <= self.radius
+                where.append(src[hit])
+                who.append(self.owner[cand[hit]])
+        return np.concatenate(where), np.concatenate(who)
+
+
+def size_class(n: int) -> int:
+    """The window length for items of ``n`` characters; neighbours differ by STEP."""
+    return round(WINDOW * STEP ** round(log(n / WINDOW, STEP)))
 
 
 class Index:
-    """Items' fingerprints by their four 16-bit blocks."""
+    """Items' fingerprints by window size, and the items too short for windows."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(k, stream(t)) for k, t in items]
-        prints, owner = [], []
+    def __init__(self, items: list[tuple[int, str]], levels=LEVELS):
+        streams = [(k, stream(t)) for k, t in items]
+        self.items = [(k, s) for k, s in streams if len(s) >= WINDOW]
+        self.short = Short([(k, s) for k, s in streams if 0 < len(s) < WINDOW])
+        found: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         for at, (_, s) in enumerate(self.items):
-            own = np.unique(fingerprints(s, 1))
-            prints.append(own)
-            owner.append(np.full(len(own), at, np.int32))
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int32)
-        self.order, self.starts = [], []
-        for b in range(4):
-            key = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            self.order.append(np.argsort(key, kind="stable"))
-            self.starts.append(np.searchsorted(np.sort(key), np.arange(65537)))
+            total = _sums(s)
+            size = size_class(len(s))
+            if "item" in levels:
+                found[size, max(1, size // PARTS), 1].append((at, _pack(total[-1:] - total[:1])))
+            if "half" in levels and size // 2 >= WINDOW:
+                every = max(1, size // PARTS)
+                found[size // 2, every, 1].append((at, np.unique(fingerprints(total, size // 2, every))))
+            if "small" in levels:
+                found[WINDOW, STRIDE, 0].append((at, np.unique(fingerprints(total, WINDOW, 1))))
+        self.indexes = []
+        for (window, every, slack), own in found.items():
+            owner = np.concatenate([np.full(len(p), at, np.int32) for at, p in own])
+            self.indexes.append((window, every, MultiIndex(np.concatenate([p for _, p in own]), owner, 6 if slack else 4, slack)))
+        self.longest = max((w for w, _, _ in self.indexes), default=WINDOW)
+
+
+class Short:
+    """Items of fewer than WINDOW characters: one leaks where a stretch of at least the share of it stands."""
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(position in prints, item)`` of all pairs within RADIUS."""
-        where, who = [], []
-        for b in range(4):
-            key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            lo, hi = self.starts[b][key], self.starts[b][key + 1]
-            n = hi - lo
-            if not n.sum():
-                continue
-            src = np.repeat(np.arange(len(prints)), n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            cand = self.order[b][np.repeat(lo, n) + offset]
-            hit = np.bitwise_count(prints[src] ^ self.prints[cand]) <= RADIUS
-            where.append(src[hit])
-            who.append(self.owner[cand[hit]])
-        if not where:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        return np.concatenate(where), np.concatenate(who)
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items = items
+
+    def held(self, s: str, share: float):
+        for k, item in self.items:
+            for size in range(len(item), max(1, ceil(share * len(item))) - 1, -1):
+                if any(item[i : i + size] in s for i in range(len(item) - size + 1)):
+                    yield k, size / len(item)
+                    break
 
 
 def held_share(item: str, places: dict[str, list[int]]) -> float:
@@ -156,41 +219,45 @@ def may_hold(item: str, places: dict, share: float) -> bool:
     return covered >= share * len(item)
 
 
-_SEGMENT = 1 << 16
+_SEGMENT = 1 << 16  # characters of a long text whose windows are made together
 _INDEXES: dict[str, Index] = {}
 
 
-def _scan(shared, tag: str, share: float):
+def _scan(shared, tag: str, share: float, levels):
     def run(batches):
         index = _INDEXES.get(tag)
         if index is None:
             _INDEXES.clear()
-            index = _INDEXES[tag] = Index(shared.value)
+            index = _INDEXES[tag] = Index(shared.value, levels)
         for pdf in batches:
             out = []
-            ids, streams, prints, origin = pdf["doc_id"].tolist(), [], [], []
+            ids, streams = pdf["doc_id"].tolist(), [stream(t) for t in pdf["text"]]
             pairs: set[tuple[int, int]] = set()
+            waiting = [([], []) for _ in index.indexes]
 
             def flush():
-                if prints:
-                    at = np.concatenate(origin)
-                    where, who = index.near(np.concatenate(prints))
-                    pairs.update(zip(at[where].tolist(), who.tolist()))
-                    prints.clear()
-                    origin.clear()
-
-            waiting = 0
-            for at, text in enumerate(pdf["text"]):
-                s = stream(text)
-                streams.append(s)
-                for a in range(0, max(1, len(s) - WINDOW + 1), _SEGMENT):
-                    own = fingerprints(s[a : a + _SEGMENT + WINDOW - 1], STRIDE)
-                    prints.append(own)
-                    origin.append(np.full(len(own), at))
-                    waiting += len(own)
-                    if waiting > 50_000:
+                for (_, _, own), (prints, origin) in zip(index.indexes, waiting):
+                    if prints:
+                        at = np.concatenate(origin)
+                        where, who = own.near(np.concatenate(prints))
+                        pairs.update(zip(at[where].tolist(), who.tolist()))
+                        prints.clear()
+                        origin.clear()
+
+            size = 0
+            for at, s in enumerate(streams):
+                out += [(ids[at], k, held) for k, held in index.short.held(s, share)]
+                for a in range(0, len(s), _SEGMENT) if index.indexes else ():
+                    total = _sums(s[a : a + _SEGMENT + index.longest - 1])
+                    for (window, every, _), (prints, origin) in zip(index.indexes, waiting):
+                        # windows that begin in this segment; the next one begins at a multiple too
+                        own = fingerprints(total, window, every)[: -(-_SEGMENT // every)]
+                        prints.append(own)
+                        origin.append(np.full(len(own), at))
+                        size += len(own)
+                    if size > 50_000:
                         flush()
-                        waiting = 0
+                        size = 0
             flush()
             by_doc = defaultdict(list)
             for at, who in pairs:
@@ -214,12 +281,15 @@ def _scan(shared, tag: str, share: float):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, levels=LEVELS) -> DataFrame:
     """``(doc_id, item_id, held)``: documents that hold at least ``share`` of an item's text.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, text``. Null and empty
-    texts hold nothing and leak nothing, as do items shorter than a window. A document
-    row given twice is reported once; items with equal texts are each reported.
+    texts hold nothing and leak nothing. An item shorter than a window is searched for as it
+    is, and leaks where one stretch of at least ``share`` of it stands. A document row given
+    twice is reported once; items with equal texts are each reported. ``levels`` are the
+    window sizes used. A document shorter than an item's window is compared by the smaller
+    ones.
     """
     spark = documents.sparkSession
     rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").dropDuplicates().toLocalIterator() if r["text"]]
@@ -235,6 +305,6 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
     found = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-        part = source.mapInPandas(_scan(shared, uuid.uuid4().hex, share), "doc_id long, item_id long, held double")
+        part = source.mapInPandas(_scan(shared, uuid.uuid4().hex, share, tuple(levels)), "doc_id long, item_id long, held double")
         found = part if found is None else found.unionAll(part)
     return found.dropDuplicates(["doc_id", "item_id"])
