@@ -229,6 +229,35 @@ def test_viterbi_prefers_the_likely_word():
     assert scans.viterbi(cells, {("the", "dog"): 30, ("dog", "sat"): 10}, 1000.0) == ["the", "dog", "sat"]
 
 
+def test_hashes_are_the_engines(spark):
+    rows = [("a", "b"), ("für", "ё" * 40), ("", "x" * 33)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.xxhash64("a").alias("h"), F.xxhash64("a", "b").alias("p")).collect()
+    assert all(r["h"] == scans._signed_hash(r["a"]) and r["p"] == scans.pair_hash(r["a"], r["b"]) for r in got)
+
+
+def test_long_words_meet_by_thirds():
+    random.seed(9)
+    for _ in range(200):
+        word = "".join(random.choices("abcdefghilmnorstuvw", k=random.randint(25, 60)))
+        some = scans.sources(word)
+        right, how = random.choice(some)
+        found = scans.explain(word, right)
+        assert found is not None and len(found.split("|")) <= len(how.split("|"))
+        assert set(scans.third_keys(word, False)) & set(scans.third_keys(right, True))
+    assert scans.explain("uncler", "under") == "cl>d" and scans.explain("abc", "xyz") is None
+
+
+def test_repair_of_long_words_and_caseless_scans(spark):
+    long = "thermodynamicsofpolycrystallines"
+    clean = f"The dog has one {long} indeed."
+    pages = [(i, f"/c/{i}.pdf", " ".join([clean] * 4)) for i in range(6)]
+    pages.append((100, "/s/1.pdf", "The dog has one\n" + long.replace("nam", "narn") + " indeed.\nand more of it"))
+    df = spark.createDataFrame(pages, "page_id long, pdf_path string, text string")
+    assert {(r["page_id"], r["right"]) for r in scans.repair(df)[2].collect()} == {(100, long)}
+    kana = spark.createDataFrame([(1, "/k/1.pdf", "日本語の文\nがここで\n続いている\nものです。"), (2, "/k/2.pdf", "題名\n本文です。")], "page_id long, pdf_path string, text string")
+    assert {r["page_id"]: r["scan"] for r in scans.parse(kana).collect()} == {1: True, 2: False}
+
+
 def test_repair(spark):
     clean = " ".join(["The dog sat under the well-known table and dissolved the river bank."] * 4)
     pages = [(i, f"/c/{i}.pdf", clean) for i in range(12)]
@@ -259,19 +288,42 @@ def item_text(seed, n=60):
     return " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(n)) + "?"
 
 
-def test_near_finds_all_within_radius():
+@pytest.mark.parametrize("blocks,slack", [(4, 0), (6, 1)])
+def test_near_finds_all_within_radius(blocks, slack, monkeypatch):
+    monkeypatch.setattr(leaks, "EXPAND", 97)
     rng = np.random.default_rng(6)
-    index = leaks.Index([(1, item_text(1)), (2, item_text(2))])
-    base = index.prints[rng.integers(0, len(index.prints), 200)]
+    prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    index = leaks.MultiIndex(prints, np.arange(300, dtype=np.int32), blocks, slack)
+    base = prints[rng.integers(0, len(prints), 200)]
     flipped = base.copy()
     for i in range(len(flipped)):
-        for b in rng.choice(64, 3, replace=False):
+        for b in rng.choice(64, index.radius + i % 2, replace=False):
             flipped[i] ^= np.uint64(1) << np.uint64(b)
     where, who = index.near(flipped)
-    want = {(i, int(index.owner[j])) for i in range(200) for j in np.flatnonzero(np.bitwise_count(index.prints ^ flipped[i]) <= 3)}
+    want = {(i, j) for i in range(200) for j in np.flatnonzero(np.bitwise_count(prints ^ flipped[i]) <= index.radius)}
+    assert index.radius == (3 if slack == 0 else 11) and len(want) >= 100
     assert set(zip(where.tolist(), who.tolist())) == want
 
 
+def test_windows_of_each_size_find_their_quotes(spark):
+    text = item_text(1)
+    words = text.split()
+    docs = [(1, f"{item_text(50)} {text} {item_text(51)}"), (2, f"{item_text(52)} {' '.join(words[:36])} {item_text(53)}"), (3, " ".join(words[:17]) + item_text(54) + " ".join(words[17:35]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(1, text)], "item_id long, text string")
+    found = {level: {r["doc_id"] for r in leaks.leaks(d, e, levels=(level,)).collect()} for level in leaks.LEVELS}
+    assert 1 in found["item"] and {1, 2} <= found["half"] and found["small"] == {1, 2, 3}
+
+
+def test_short_items_and_long_documents(spark):
+    e = spark.createDataFrame([(1, "Zip zap zop!"), (2, "A"), (3, item_text(3))], "item_id long, text string")
+    filler = " ".join(item_text(100 + i) for i in range(400))
+    docs = [(1, "he said zip-zap"), (2, "nothing"), (3, filler + item_text(3) + filler), (4, "ZIPPY")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in leaks.leaks(d, e).select("doc_id", "item_id").collect()}
+    assert got >= {(1, 1), (3, 3), (1, 2), (3, 2)} and (2, 1) not in got and (4, 1) not in got
+
+
 def test_leaks(spark):
     items = [(i, item_text(i)) for i in range(1, 6)] + [(9, None), (10, ""), (11, item_text(1))]
     words = items[0][1].split()
