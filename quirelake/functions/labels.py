@@ -96,3 +96,29 @@ def spread_start(page: Column, mode: Column, total: Column) -> Column:
         .when((F.pmod(total, F.lit(2)) == 0) & (p == total), total)
         .otherwise(F.when(even, p).otherwise(p - 1))
     )
+
+
+def find_page(text: Column, total: Column, labels: Column) -> Column:
+    """The page a reader means: its number, else the first page labelled so, else so in another case.
+
+    Labels count only where there is one for each page; blank input means none.
+    """
+    flat = F.trim(text)
+    number = F.when(flat.rlike(r"^\d{1,9}$"), flat.try_cast("int"))
+    whole = F.size(labels) == total
+    exact = F.array_position(labels, flat).cast("int")
+    cased = F.array_position(F.transform(labels, lambda x: F.lower(x)), F.lower(flat)).cast("int")
+    return (
+        F.when(F.coalesce(flat, F.lit("")) == "", F.lit(None))
+        .when(number.between(1, total), number)
+        .when(whole & (exact > 0), exact)
+        .when(whole & (cased > 0), cased)
+        .cast("int")
+    )
+
+
+def page_indicator(page: Column, labels: Column) -> Column:
+    """The page's label with its number behind, or the number alone where the label says no more."""
+    said = F.nullif(F.trim(F.get(labels, page - 1)), F.lit(""))
+    number = page.cast("string")
+    return F.when(said.isNull() | (said == number), number).otherwise(F.concat(said, F.lit(" ("), number, F.lit(")")))

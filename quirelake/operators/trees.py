@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.runtime import cut
@@ -81,3 +81,34 @@ def preorder(nodes: DataFrame, order: str = "id") -> DataFrame:
     up = closure(nodes).join(nodes.select(F.col("id").alias("ancestor"), F.col(order).alias("o")), "ancestor")
     path = F.transform(F.sort_array(F.collect_list(F.struct("distance", "o")), asc=False), lambda x: x["o"])
     return up.groupBy("id").agg(F.max("distance").alias("depth"), path.alias("path"))
+
+
+def move_branches(nodes: DataFrame, dragged: DataFrame, target: int, position: str) -> DataFrame:
+    """``(id, parent, place)`` after the ``dragged`` nodes went before, after or into (as last
+    children of) ``target``; places count 1, 2, ... among the children of a parent.
+
+    ``nodes`` has ``(id, parent, ord)``. Of the dragged nodes those under another one go with it. The
+    tree stays as it is when the target is dragged itself or lies under a dragged node, or is
+    no node.
+    """
+    if position not in ("before", "after", "child"):
+        raise ValueError(position)
+    nodes = nodes.select("id", "parent", F.col("ord").cast("double").alias("ord"))
+    roots = top_selected(nodes, dragged.join(nodes.select("id"), "id", "left_semi"))
+    spark = nodes.sparkSession
+    aim = spark.createDataFrame([(target,)], "id long")
+    above = closure(nodes, asked=aim).select(F.col("ancestor").alias("id"))
+    to = nodes.where(F.col("id") == target).select("parent", "ord").collect()
+    by = Window.partitionBy("parent").orderBy("ord", "group", "id")
+    plain = nodes.withColumn("group", F.lit(0))
+    if to and roots.join(above, "id", "left_semi").isEmpty():
+        row = to[0]
+        goal = F.lit(target if position == "child" else row["parent"]).cast("long")
+        place = F.lit(float("inf") if position == "child" else row["ord"])
+        side = 1 if position != "before" else -1
+        moved = nodes.join(roots, "id", "left_semi").select("id", goal.alias("parent"), place.alias("ord"), F.lit(side).alias("group"), F.col("ord").alias("own"))
+        # among those moved the old order holds
+        kept = plain.join(roots, "id", "left_anti").withColumn("own", F.lit(0.0))
+        plain = kept.unionByName(moved)
+        by = Window.partitionBy("parent").orderBy("ord", "group", "own", "id")
+    return plain.select("id", "parent", F.row_number().over(by).alias("place"))

@@ -1,7 +1,7 @@
 """Annotation comments, render plans and small scalar rules.
 
 Comments are read from the documents: a document is a comment of its source on page
-``doc_id % 40 + 1``, with a rectangle, an author and a subtype that follow from its row.
+``doc_id // 25 + 1``, with a rectangle, an author and a subtype that follow from its row.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from quirelake.plans.registry import query
 from quirelake.runtime import micros, table
 
 _C = (
-    "WITH c AS (SELECT doc_id AS id, doc_id % 40 + 1 AS page, CASE WHEN doc_id % 3 = 0 THEN doc_id || 'R' END AS ann_id, coalesce(source, '') AS uid, "
+    "WITH c AS (SELECT doc_id AS id, doc_id // 25 + 1 AS page, CASE WHEN doc_id % 3 = 0 THEN doc_id || 'R' END AS ann_id, coalesce(source, '') AS uid, "
     "CASE WHEN doc_id % 2 = 0 THEN 'editor' ELSE 'pdf' END AS source, kind AS subtype, coalesce(text, '') AS text, epoch_us(added_at) AS at_us, "
     "CAST(doc_id * 37 % 800 AS DOUBLE) / 1000 AS l, CAST(doc_id * 53 % 700 AS DOUBLE) / 1000 AS t, CAST(doc_id * 7 % 90 AS DOUBLE) / 1000 AS w, CAST(doc_id * 11 % 60 AS DOUBLE) / 1000 AS h FROM documents) "
 )
@@ -24,23 +24,12 @@ _C = (
 def comments(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda a, m: (F.col("doc_id") * a % m).cast("double") / 1000
     return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 40 + 1).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("R"))).alias("ann_id"),
+        F.col("doc_id").alias("id"), (F.floor(F.col("doc_id") / 25) + 1).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("R"))).alias("ann_id"),
         F.coalesce("source", F.lit("")).alias("uid"), F.when(F.col("doc_id") % 2 == 0, "editor").otherwise("pdf").alias("source"), F.col("kind").alias("subtype"),
         F.coalesce("text", F.lit("")).alias("text"), micros(F.col("added_at")).alias("at_us"), part(37, 800).alias("l"), part(53, 700).alias("t"), part(7, 90).alias("w"), part(11, 60).alias("h"),
     )
 
 
-@query(_C + "SELECT id, unnest(list_filter([CASE WHEN ann_id IS NOT NULL THEN 'ann:' || page || ':' || ann_id END, CASE WHEN uid <> '' THEN 'uid:' || page || ':' || uid END, 'src:' || source || ':' || page || ':' || id], lambda x: x IS NOT NULL)) AS key FROM c")
-def proj_p04_lookup_keys(spark: SparkSession, folder: str) -> DataFrame:
-    page = F.col("page").cast("string")
-    keys = F.array(
-        F.when(F.col("ann_id").isNotNull(), F.concat_ws(":", F.lit("ann"), page, "ann_id")),
-        F.when(F.col("uid") != "", F.concat_ws(":", F.lit("uid"), page, "uid")),
-        F.concat_ws(":", F.lit("src"), "source", page, F.col("id").cast("string")),
-    )
-    return comments(spark, folder).select("id", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
-
-
 @query(_C + "SELECT id, CAST(trunc(l * 1240) AS INT) AS x, CAST(trunc(t * 1754) AS INT) AS y, CAST(trunc((l + w) * 1240) AS INT) AS x1 FROM c")
 def proj_p07_pixels(spark: SparkSession, folder: str) -> DataFrame:
     px = lambda e, n: (e * n).cast("int")
@@ -58,11 +47,6 @@ def a08_hints_by_page(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).where("source = 'editor'").groupBy("page").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
 
 
-@query(_C + "SELECT id FROM c WHERE sqrt(w * w + h * h) >= 0.05")
-def f18_drawn_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    return comments(spark, folder).where(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")) >= 0.05).select("id")
-
-
 @query(_C + "SELECT id FROM c WHERE page + t < 12.5 + 3 AND page + t + h > 8.25 - 3")
 def f14_visible(spark: SparkSession, folder: str) -> DataFrame:
     top = F.col("page") + F.col("t")
@@ -78,11 +62,11 @@ def f19_pages_to_render(spark: SparkSession, folder: str) -> DataFrame:
     return todo.select("pdf_path", "page_number", F.floor((F.row_number().over(w) - 1) / 3).cast("int").alias("batch"))
 
 
-@query(_C + "SELECT a.id, p.id AS popup FROM c a LEFT JOIN c p ON p.id = a.id + 40 AND p.page = a.page AND p.source = 'pdf'")
+@query(_C + "SELECT a.id, p.id AS popup FROM c a LEFT JOIN c p ON p.id = a.id + 3 AND p.page = a.page AND p.source = 'pdf'")
 def j01_popups(spark: SparkSession, folder: str) -> DataFrame:
     c = comments(spark, folder)
     p = c.where("source = 'pdf'").select(F.col("id").alias("popup"), "page")
-    return c.select("id", "page").join(p.withColumn("id", F.col("popup") - 40), ["id", "page"], "left").select("id", "popup")
+    return c.select("id", "page").join(p.withColumn("id", F.col("popup") - 3), ["id", "page"], "left").select("id", "popup")
 
 
 @query(
@@ -113,14 +97,16 @@ def j12_cascading_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("id", F.col("m.hit").alias("hit"))
 
 
-@query(_C + ", g AS (SELECT unnest(range(1, 41)) AS page) SELECT CAST(g.page AS INT) AS page, arg_max(c.id, c.id) AS active FROM g JOIN c ON c.page <= g.page GROUP BY 1")
+@query(_C + ", g AS (SELECT page, max(id) AS id FROM c GROUP BY 1) SELECT page, max(id) OVER (ORDER BY page) AS active FROM g")
 def j23_active_bookmark(spark: SparkSession, folder: str) -> DataFrame:
-    # the last node of each page, then the largest over all pages up to it: no theta join of all rows
-    last = comments(spark, folder).groupBy("page").agg(F.max("id").alias("id"))
-    pages = spark.range(1, 41).select(F.col("id").cast("int").alias("page"))
-    w = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    filled = pages.join(last.withColumn("page", F.col("page").cast("int")), "page", "left").select("page", F.max("id").over(w).alias("active"))
-    return filled.where("active IS NOT NULL")
+    # a page's last node; over the pages up to it by prefix maxima of blocks, so no window holds all pages
+    last = comments(spark, folder).groupBy("page").agg(F.max("id").alias("id")).withColumn("block", F.floor(F.col("page") / 1000))
+    heads = last.groupBy("block").agg(F.max("id").alias("top"))
+    # one row for each thousand pages
+    before = heads.select("block", F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    w = Window.partitionBy("block").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    own = last.select("block", "page", F.max("id").over(w).alias("own"))
+    return own.join(before, "block").select("page", F.greatest("own", "before").alias("active"))
 
 
 @query(
@@ -139,16 +125,10 @@ def a06_padded_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).groupBy("page").agg(clamp01(F.min("l") - 0.032).alias("l"), clamp01(F.max(F.col("l") + F.col("w")) + 0.032).alias("r"))
 
 
-@query("SELECT kind, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
-def a11_bytes_by_kind(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("kind").agg(F.sum("n_chars").cast("long").alias("bytes"))
-
-
-@query("SELECT page_id, CAST(CASE WHEN page_number <= 0 OR page_number >= 40 THEN 0 ELSE floor(page_number * 700.0 / page_number * (40 - page_number) + 0.5) END AS BIGINT) AS eta_ms, CAST(floor(least(page_number, 40) * 100.0 / 40 + 0.5) AS BIGINT) AS percent FROM page_text")
-def a12_progress(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("page_number")
-    eta = F.when((n <= 0) | (n >= 40), F.lit(0)).otherwise(F.floor(n * 700.0 / n * (40 - n) + 0.5))
-    return table(spark, folder, "page_text").select("page_id", eta.cast("long").alias("eta_ms"), F.floor(F.least(n, F.lit(40)) * 100.0 / 40 + 0.5).cast("long").alias("percent"))
+@query("SELECT pdf_path, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM page_text GROUP BY 1")
+def a11_history_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    # what the extracted states of a file take together
+    return table(spark, folder, "page_text").groupBy("pdf_path").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
 
 
 @query("WITH n AS (SELECT pdf_path, max(page_number) AS n FROM page_text GROUP BY 1) SELECT pdf_path, preset, CAST(greatest(1, floor(n * 0.33)) AS BIGINT) AS sample_page, n * kb AS kb FROM n, (VALUES ('small', 40), ('medium', 90), ('large', 250)) p(preset, kb)")
@@ -165,23 +145,6 @@ def a20_distinct_lists(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("source IS NOT NULL").groupBy("source").agg(kinds.alias("kinds"))
 
 
-@query("WITH a AS (SELECT pdf_path, page_number, max(page_id) AS id FROM page_text GROUP BY 1, 2), b AS (SELECT pdf_path, page_number, min(page_id) AS id FROM page_text GROUP BY 1, 2) SELECT a.pdf_path, bool_or(a.id <> b.id) AS dirty FROM a JOIN b USING (pdf_path, page_number) GROUP BY 1")
-def a25_changed_files(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "page_text").groupBy("pdf_path", "page_number").agg((F.max("page_id") != F.min("page_id")).alias("d"))
-    return p.groupBy("pdf_path").agg(F.bool_or("d").alias("dirty"))
-
-
-@query(
-    _C
-    + "SELECT page, id FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ann_id IS NOT NULL THEN 110 ELSE 0 END + CASE WHEN uid <> '' THEN 55 ELSE 0 END + CASE WHEN source = 'editor' THEN 22 ELSE 0 END + CASE WHEN text <> '' THEN 12 ELSE 0 END DESC, at_us DESC NULLS LAST, id) AS k FROM c) WHERE k = 1"
-)
-def o03_merge_priority(spark: SparkSession, folder: str) -> DataFrame:
-    # points of a row (fixed values)
-    points = F.when(F.col("ann_id").isNotNull(), 110).otherwise(0) + F.when(F.col("uid") != "", 55).otherwise(0) + F.when(F.col("source") == "editor", 22).otherwise(0) + F.when(F.col("text") != "", 12).otherwise(0)
-    best = F.min(F.struct((-points).alias("p"), F.col("at_us").isNull().alias("no"), (-F.col("at_us")).alias("t"), "id")).alias("m")
-    return comments(spark, folder).groupBy("page").agg(best).select("page", F.col("m.id").alias("id"))
-
-
 @query("WITH f AS (SELECT pdf_path, CAST(max(page_number) AS INT) AS n FROM page_text GROUP BY 1), q AS (SELECT pdf_path, p, min(k) AS k FROM (SELECT pdf_path, n, unnest([5]) AS p, 0 AS k FROM f UNION ALL SELECT pdf_path, n, unnest(range(4, 7)), 1 FROM f UNION ALL SELECT pdf_path, n, unnest(range(1, 13)), 2 FROM f) WHERE p BETWEEN 1 AND n GROUP BY pdf_path, p) SELECT pdf_path, CAST(p AS INT) AS page, CAST(row_number() OVER (PARTITION BY pdf_path ORDER BY k, p) AS INT) AS place FROM q")
 def o08_render_queue(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "page_text").groupBy("pdf_path").agg(F.max("page_number").alias("n"))
@@ -190,13 +153,6 @@ def o08_render_queue(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("pdf_path", "page", F.row_number().over(Window.partitionBy("pdf_path").orderBy(k, "page")).alias("place"))
 
 
-@query("SELECT code, CAST(row_number() OVER (ORDER BY script <> 'cyrillic', code) AS INT) AS place FROM ocr_language")
-def o12_scripts_first(spark: SparkSession, folder: str) -> DataFrame:
-    # a fixed table of ten languages
-    w = Window.orderBy(F.col("script") != "cyrillic", "code")
-    return table(spark, folder, "ocr_language").select("code", F.row_number().over(w).alias("place"))
-
-
 @query("WITH n AS (SELECT request_id, match_index, row_number() OVER (PARTITION BY request_id ORDER BY match_index) - 1 AS i, count(*) OVER (PARTITION BY request_id) AS n FROM search_match) SELECT request_id, match_index, (i + 1) % n AS next_i, (i - 1 + n) % n AS prev_i FROM n")
 def o15_match_cursor(spark: SparkSession, folder: str) -> DataFrame:
     by = Window.partitionBy("request_id")
@@ -235,12 +191,6 @@ def u21_recently_used(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("pdf_path", "used", F.row_number().over(Window.orderBy(F.col("used").desc(), "pdf_path")).alias("place"))
 
 
-@query("SELECT doc_id, CASE replace(lower(trim(kind)), '_', '') WHEN 'pagetext' THEN 'text' WHEN 'ocrlayer' THEN 'text' WHEN 'note' THEN 'freetext' ELSE replace(lower(trim(kind)), '_', '') END AS token FROM documents")
-def x02_subtype_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.regexp_replace(F.lower(F.trim("kind")), "[^a-z0-9]+", "")
-    return table(spark, folder, "documents").select("doc_id", F.when(t.isin("pagetext", "ocrlayer"), "text").when(t == "note", "freetext").otherwise(t).alias("token"))
-
-
 @query("WITH m AS (SELECT max(epoch_us(requested_at)) AS now FROM search_request), d AS (SELECT request_id, (now - epoch_us(requested_at)) // 60000000 AS mins FROM search_request, m) SELECT DISTINCT request_id, CASE WHEN mins >= 2880 THEN (mins // 1440) || ' days ago' WHEN mins >= 1440 THEN 'yesterday' WHEN mins >= 120 THEN (mins // 60) || ' hours ago' WHEN mins >= 60 THEN 'an hour ago' WHEN mins >= 2 THEN mins || ' minutes ago' WHEN mins >= 1 THEN 'a minute ago' ELSE 'just now' END AS age FROM d")
 def x05_relative_times(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "search_request").select("request_id", micros(F.col("requested_at")).alias("t"))
@@ -252,12 +202,6 @@ def x05_relative_times(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("request_id", age.when(F.col("m") >= 2, part(1, "minutes")).when(F.col("m") >= 1, "a minute ago").otherwise("just now").alias("age")).distinct()
 
 
-@query("SELECT p_partkey, '#' || printf('%02x%02x%02x', CAST(p_partkey * 7 % 256 AS INT), CAST(p_partkey * 13 % 256 AS INT), CAST(p_partkey * 29 % 256 AS INT)) AS colour FROM part")
-def x14_hex_colours(spark: SparkSession, folder: str) -> DataFrame:
-    two = lambda k: F.lpad(F.lower(F.hex(F.col("p_partkey") * k % 256)), 2, "0")
-    return table(spark, folder, "part").select("p_partkey", F.concat(F.lit("#"), two(7), two(13), two(29)).alias("colour"))
-
-
 @query(_C + "SELECT id, greatest(0.0, least(l + w, 0.5) - greatest(l, 0.2)) AS shared FROM c")
 def x18_overlap_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).select("id", overlap(F.col("l"), F.col("l") + F.col("w"), F.lit(0.2), F.lit(0.5)).alias("shared"))
@@ -268,23 +212,11 @@ def x24_greek_mu(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page_text").select("page_id", F.translate("text", "µ", "μ").alias("text"))
 
 
-@query(_C + "SELECT id, coalesce(nullif(trim(text, ' ' || chr(10)), ''), nullif(trim(uid), ''), 'untitled') AS shown FROM c")
-def x25_coalesced_text(spark: SparkSession, folder: str) -> DataFrame:
-    shown = F.coalesce(F.nullif(F.trim("text", F.lit(" \n")), F.lit("")), F.nullif(F.trim("uid"), F.lit("")), F.lit("untitled"))
-    return comments(spark, folder).select("id", shown.alias("shown"))
-
-
 @query(_C + "SELECT id, CAST(regexp_extract(ann_id, '^(\\d+)R', 1) AS INT) AS object_no FROM c WHERE ann_id IS NOT NULL")
 def x26_object_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).where("ann_id IS NOT NULL").select("id", F.regexp_extract("ann_id", r"^(\d+)R", 1).try_cast("int").alias("object_no"))
 
 
-@query("SELECT page_id, CASE WHEN page_number - 1 BETWEEN 0 AND 19 THEN page_number - 1 WHEN page_number BETWEEN 1 AND 20 THEN page_number - 1 END AS dest FROM page_text")
-def x30_destinations(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("page_number") - 1
-    return table(spark, folder, "page_text").select("page_id", F.when(n.between(0, 19), n).alias("dest"))
-
-
 @query("SELECT page_id, (page_number // 60) || ':' || lpad((page_number % 60)::VARCHAR, 2, '0') AS clock, array_to_string(string_split(pdf_path, '/')[-3:-2], '/') AS folders FROM page_text WHERE page_number > 0")
 def x34_clock_and_folders(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("page_number")

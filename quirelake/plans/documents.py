@@ -121,21 +121,6 @@ def j04_matches_on_texts(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("request_id", "match_index", "page_id", (piece == F.col("excerpt.match")).alias("agrees"))
 
 
-@query(
-    """
-WITH parts AS (SELECT doc_id, string_split(replace(text, chr(10) || chr(10), chr(12)), chr(12)) AS p FROM documents WHERE text IS NOT NULL),
-kept AS (SELECT doc_id, CASE WHEN trim(p[len(p)], chr(10) || ' ') = '' THEN p[1:len(p)-1] ELSE p END AS p FROM parts)
-SELECT doc_id, CAST(i AS INT) AS page_number, trim(p[i], chr(10) || ' ') AS page_text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM kept)
-"""
-)
-def s02_form_feed_pages(spark: SparkSession, folder: str) -> DataFrame:
-    parts = F.split(F.replace("text", F.lit("\n\n"), F.lit("\f")), "\f", -1)
-    bare = lambda c: F.trim(c, F.lit("\n "))
-    docs = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", parts.alias("p"))
-    kept = F.when(bare(F.element_at("p", -1)) == "", F.slice("p", 1, F.size("p") - 1)).otherwise(F.col("p"))
-    return docs.select("doc_id", F.posexplode(kept).alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("page_number"), bare(F.col("x")).alias("page_text"))
-
-
 @query(
     """
 SELECT pdf_path, string_agg(trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY page_number, page_id) AS whole FROM page_text
@@ -210,15 +195,15 @@ def f16_language_groups(spark: SparkSession, folder: str) -> DataFrame:
     return langs.groupBy(F.col("script").isin("latin", "cyrillic").alias("together")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
 
 
-# notes: documents read as comments of their source, page doc_id % 40 + 1
-_NOTES = "WITH n AS (SELECT doc_id, doc_id % 40 + 1 AS page, coalesce(text, '') AS text, coalesce(source, '') AS author, kind, epoch_us(added_at) AS at_us FROM documents) "
+# notes: documents read as comments of their source, 25 a page
+_NOTES = "WITH n AS (SELECT doc_id, doc_id // 25 + 1 AS page, coalesce(text, '') AS text, coalesce(source, '') AS author, kind, epoch_us(added_at) AS at_us FROM documents) "
 
 
 def _notes(spark: SparkSession, folder: str) -> DataFrame:
     from quirelake.runtime import micros
 
     return table(spark, folder, "documents").select(
-        "doc_id", (F.col("doc_id") % 40 + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("author"), "kind", micros(F.col("added_at")).alias("at_us")
+        "doc_id", (F.floor(F.col("doc_id") / 25) + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("author"), "kind", micros(F.col("added_at")).alias("at_us")
     )
 
 
@@ -229,11 +214,6 @@ def f04_comment_query(spark: SparkSession, folder: str) -> DataFrame:
     return n.where(hit).select("doc_id")
 
 
-@query(_NOTES + "SELECT doc_id, regexp_matches(lower(kind), '\\b(note|comment|sticky)\\b') AS is_note FROM n")
-def f05_note_types(spark: SparkSession, folder: str) -> DataFrame:
-    return _notes(spark, folder).select("doc_id", F.lower("kind").rlike(r"\b(note|comment|sticky)\b").alias("is_note"))
-
-
 @query(_NOTES + "SELECT page, doc_id, CAST(row_number() OVER (PARTITION BY page ORDER BY at_us DESC NULLS LAST, doc_id) AS INT) AS place FROM n")
 def o02_comment_order(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("page").orderBy(F.col("at_us").desc_nulls_last(), "doc_id")

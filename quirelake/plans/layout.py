@@ -182,13 +182,6 @@ def u13_deleted_branches(spark: SparkSession, folder: str) -> DataFrame:
     return trees.delete_with_branches(t, t.where("id % 9 = 2")).select("id")
 
 
-@query("SELECT n.n_nationkey, r.r_name, CAST(count(*) OVER (PARTITION BY r.r_regionkey) AS BIGINT) AS siblings FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
-def j20_group_members(spark: SparkSession, folder: str) -> DataFrame:
-    n, r = table(spark, folder, "nation"), table(spark, folder, "region")
-    w = Window.partitionBy("r_regionkey")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "r_name", F.count(F.lit(1)).over(w).alias("siblings"))
-
-
 # ---- rectangles: embeddings' first components in thousandths -------------------------------
 
 _BOX = (

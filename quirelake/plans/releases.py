@@ -165,7 +165,7 @@ def a23_download_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("SELECT d.id, coalesce(a.size, 0) AS size FROM (SELECT DISTINCT id, file_name FROM landing_download) d LEFT JOIN release_asset a ON a.name = d.file_name")
-def j15_download_sizes(spark: SparkSession, folder: str) -> DataFrame:
+def ext_download_sizes(spark: SparkSession, folder: str) -> DataFrame:
     # a fixed dimension of a hundred assets
     assets = F.broadcast(table(spark, folder, "release_asset").select(F.col("name").alias("file_name"), "size"))
     d = table(spark, folder, "landing_download").select("id", "file_name").distinct()
