@@ -2,7 +2,9 @@
 
 A page's lines are first told apart: furniture (headers, footers, page numbers, stamps) by
 its shape, by not belonging to the sentences around it, and by recurring in its file with
-other numbers. What is left is running text; words broken over line ends are mended there.
+other numbers. What is left is running text. A word broken over a line end has passed the
+channel too: it was written in one or with a hyphen, and both readings, with all that either
+may be a misreading of, are states of the lattice.
 
 A word is suspect when the corpus hardly has it outside of scans. Its candidates are the
 corpus words it could have been: the usual confusions of characters are undone, up to two
@@ -345,19 +347,14 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts = cut(counts)
     size = counts.agg(F.sum("n")).collect()[0][0] or 1
 
-    # broken words: the vocabulary tells whether the hyphen belongs to the word
+    # broken words: both readings, in one or with a hyphen
     broken = parsed.select(F.explode(F.regexp_extract_all("lines", F.lit("([^ \\n]*\u0001[^ \\n]*)"))).alias("raw")).distinct()
-    n_of = lambda name: counts.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    forms = (
-        broken.select("raw", F.replace("raw", F.lit("\u0001"), F.lit("")).alias("joined"), F.replace("raw", F.lit("\u0001"), F.lit("-")).alias("dashed"))
-        .join(n_of("joined"), "joined", "left")
-        .join(n_of("dashed"), "dashed", "left")
-        .select("raw", F.when(F.coalesce("n_dashed", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("dashed")).otherwise(F.col("joined")).alias("word"))
-    )
-    forms = cut(forms)
+    reading = F.explode(F.array(F.replace("raw", F.lit("\u0001"), F.lit("")), F.replace("raw", F.lit("\u0001"), F.lit("-")))).alias("word")
+    forms = broken.select("raw", reading).join(counts.select("word", "n"), "word", "left")
+    forms = cut(forms.select("raw", "word", F.coalesce("n", F.lit(0)).alias("n")))
 
     # suspects: words of scans that the corpus hardly has outside of them
-    mended = forms.select("word").distinct().join(counts, "word", "left_anti").select("word", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("clean"))
+    mended = forms.where("n = 0").select("word").distinct().select("word", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("clean"))
     suspects = (
         counts.where("n > clean AND clean * 20 <= n")
         .unionAll(mended)
@@ -405,11 +402,13 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     states = cut(states)
     asked = spark.sparkContext.broadcast(_filter(states))
     hits = cut(parsed.where("scan").select("page_id", "lines").mapInPandas(_hit_rows(asked), "page_id long, line int, at int, raw string, before string, after string"))
-    placed = hits.join(forms, "raw", "left").withColumn("word", F.coalesce("word", "raw"))
+    # a broken word's states: its readings as they stand, and what each may be a misreading of
+    misread_as = forms.join(states, "word", "left").select("raw", "word", "n", F.coalesce("clean_word", F.lit(0)).alias("clean"), F.coalesce("cands", F.array()).alias("cands"))
+    readings = misread_as.groupBy("raw").agg(F.collect_list(F.struct("word", "n", "clean", "cands")).alias("readings"))
+    whole = states.select(F.col("word").alias("raw"), F.array(F.struct("word", F.col("n_word").alias("n"), F.col("clean_word").alias("clean"), "cands")).alias("readings"))
+    placed = hits.join(whole.unionByName(readings), "raw")
     lattice = cut(
-        placed.join(states, "word")
-        .groupBy("page_id", "line")
-        .agg(F.collect_list(F.struct("at", "word", "before", "after", "clean_word", "cands")).alias("suspects"))
+        placed.groupBy("page_id", "line").agg(F.collect_list(F.struct("at", "raw", "before", "after", "readings")).alias("suspects"))
     )
     # counts of single words and of pairs, by hash; those of the most frequent words go to all
     heavy = spark.sparkContext.broadcast({r["word"]: r["n"] for r in counts.where(F.col("n") >= F.lit(HEAVY * size)).select("word", "n").collect()})
@@ -418,23 +417,34 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     grams = pairs.unionAll(counts.select(F.xxhash64("word").alias("h"), "n")).groupBy("h").agg(F.sum("n").alias("n"))
     wanted = lattice.mapInPandas(_asks(heavy), "page_id long, line int, h long")
     answers = wanted.join(grams, "h").groupBy("page_id", "line").agg(F.collect_list(F.struct("h", "n")).alias("grams"))
-    decoded = lattice.join(answers, ["page_id", "line"], "left").mapInPandas(_viterbi_rows(float(size), heavy), "page_id long, line int, at int, word string, right string")
+    decoded = lattice.join(answers, ["page_id", "line"], "left").mapInPandas(_viterbi_rows(float(size), heavy), "page_id long, word string, right string, broken boolean")
     decoded = cut(decoded)
-    mended = placed.where(F.contains("raw", F.lit("\u0001"))).select("page_id", "line", "at", "word")
-    split = (
-        mended.join(decoded.select("page_id", "line", "at", "right"), ["page_id", "line", "at"], "left")
-        .select("page_id", F.coalesce("right", "word").alias("piece"))
-        .distinct()
-    )
-    misread = decoded.select("page_id", "word", "right").distinct()
+    # a broken word's decision is its piece; any other reading of a word than itself is a misreading
+    split = decoded.where("broken").select("page_id", F.col("right").alias("piece")).distinct()
+    misread = decoded.where("word <> right").select("page_id", "word", "right").distinct()
     found = parsed.select("page_id", F.explode("furniture").alias("piece")).distinct()
     return found, split, misread
 
 
-def _options(word: str, clean: float, cands) -> list[tuple[str, float, float]]:
-    """``(form, log channel, occurrences)`` of a suspect, itself included."""
-    itself = 1e-6 if any(ch.isdigit() for ch in word) else REAL + 0.1 * clean
-    return [(word, 0.0, itself)] + [(c["cand"], c["logp"], float(c["n_cand"])) for c in cands]
+def _options(readings) -> list[tuple[str, float, float]]:
+    """``(form, log channel, occurrences)`` of a suspect, itself included; of a broken word for both
+    readings, where a hyphen that nothing speaks for is the less likely one."""
+    out: dict[str, tuple[float, float]] = {}
+    broken = len(readings) > 1
+    for r in readings:
+        word, dashed = r["word"], broken and "-" in r["word"]
+        itself = 1e-6 if any(ch.isdigit() for ch in word) else REAL * (0.1 if dashed else 1.0) + 0.1 * float(r["clean"])
+        if broken and not len(r["cands"]):
+            itself = max(itself, float(r["n"]))
+        for form, logp, n in [(word, 0.0, itself)] + [(c["cand"], c["logp"], float(c["n_cand"])) for c in r["cands"]]:
+            if form not in out or (logp, n) > out[form]:
+                out[form] = (logp, n)
+    return [(form, logp, n) for form, (logp, n) in out.items()]
+
+
+def _as_read(readings) -> str:
+    """A word as it stands; of a broken word the reading the corpus has more often, in one if none."""
+    return max(readings, key=lambda r: (r["n"], "-" not in r["word"]))["word"]
 
 
 def _hit_rows(asked):
@@ -462,7 +472,7 @@ def _hit_rows(asked):
 
 def lattice_cells(suspects) -> list[tuple[int, list[tuple[str, float, float | None]]]]:
     """``(place, states)`` of a line's suspects and of the words beside them, whose count is None."""
-    found = {x["at"]: _options(x["word"], float(x["clean_word"]), x["cands"]) for x in suspects}
+    found = {x["at"]: _options(x["readings"]) for x in suspects}
     for x in suspects:
         for at, word in ((x["at"] - 1, x["before"]), (x["at"] + 1, x["after"])):
             if word is not None and at not in found:
@@ -470,6 +480,11 @@ def lattice_cells(suspects) -> list[tuple[int, list[tuple[str, float, float | No
     return sorted(found.items())
 
 
+def _errors(suspects) -> set[str]:
+    """Words whose own pairs speak for nothing: suspects as they stand, where they have another form."""
+    return {r["word"] for x in suspects for r in x["readings"] if len(r["cands"])}
+
+
 def _neighbours(cells, own: set[str]):
     """Pairs of states that stand beside each other; a suspect's own pairs are its errors' and speak for nothing."""
     for (i, left), (j, right) in zip(cells, cells[1:]):
@@ -487,7 +502,7 @@ def _asks(heavy):
             pages, lines, hashes = [], [], []
             for page, line, suspects in zip(pdf["page_id"], pdf["line"], pdf["suspects"]):
                 cells = lattice_cells(suspects)
-                want = {pair_hash(a, b) for a, b in _neighbours(cells, {x["word"] for x in suspects})}
+                want = {pair_hash(a, b) for a, b in _neighbours(cells, _errors(suspects))}
                 want |= {_signed_hash(w) for _, cell in cells for w, _, n in cell if n is None and w not in frequent}
                 pages += [page] * len(want)
                 lines += [line] * len(want)
@@ -529,11 +544,16 @@ def _viterbi_rows(size: float, heavy):
             for page, line, suspects, grams in zip(*(pdf[c] for c in ("page_id", "line", "suspects", "grams"))):
                 n_of = {g["h"]: g["n"] for g in grams} if grams is not None else {}
                 cells = lattice_cells(suspects)
-                pairs = {(a, b): n_of.get(pair_hash(a, b), 0) for a, b in _neighbours(cells, {x["word"] for x in suspects})} if n_of else {}
+                pairs = {(a, b): n_of.get(pair_hash(a, b), 0) for a, b in _neighbours(cells, _errors(suspects))} if n_of else {}
                 states = [[(w, p, float(frequent.get(w) or n_of.get(_signed_hash(w), 1)) if n is None else n) for w, p, n in cell] for _, cell in cells]
                 forms = dict(zip((at for at, _ in cells), viterbi(states, pairs, size)))
-                rows += [(page, line, x["at"], x["word"], forms[x["at"]]) for x in suspects if forms[x["at"]] != x["word"]]
-            yield pd.DataFrame(rows, columns=["page_id", "line", "at", "word", "right"])
+                for x in suspects:
+                    right, broken = forms[x["at"]], "\u0001" in x["raw"]
+                    as_read = [r["word"] for r in x["readings"]]
+                    word = right if right in as_read else _as_read(x["readings"])
+                    if broken or right != word:
+                        rows.append((page, word, right, broken))
+            yield pd.DataFrame(rows, columns=["page_id", "word", "right", "broken"])
 
     return run
 
