@@ -77,13 +77,15 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
 
 
-def _sums(s: str) -> np.ndarray:
-    """Running sums of the shingles' bits."""
+def _sums(s: str, longest: int) -> np.ndarray:
+    """Running sums of the shingles' bits. They may wrap around: differences over up to ``longest``
+    characters are right all the same."""
+    kind = np.int16 if longest < 1 << 15 else np.int32
     if len(s) < GRAM:
-        return np.zeros((1, 64), np.int32)
+        return np.zeros((1, 64), kind)
     bits = _gram_bits(s)
-    total = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
+    total = np.zeros((len(bits) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
     return total
 
 
@@ -148,7 +150,7 @@ class Index:
         self.short = Short([(k, s) for k, s in streams if 0 < len(s) < WINDOW])
         found: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         for at, (_, s) in enumerate(self.items):
-            total = _sums(s)
+            total = _sums(s, max(len(s), WINDOW))
             size = size_class(len(s))
             if "item" in levels:
                 found[size, max(1, size // PARTS), 1].append((at, _pack(total[-1:] - total[:1])))
@@ -248,7 +250,7 @@ def _scan(shared, tag: str, share: float, levels):
             for at, s in enumerate(streams):
                 out += [(ids[at], k, held) for k, held in index.short.held(s, share)]
                 for a in range(0, len(s), _SEGMENT) if index.indexes else ():
-                    total = _sums(s[a : a + _SEGMENT + index.longest - 1])
+                    total = _sums(s[a : a + _SEGMENT + index.longest - 1], index.longest)
                     for (window, every, _), (prints, origin) in zip(index.indexes, waiting):
                         # windows that begin in this segment; the next one begins at a multiple too
                         own = fingerprints(total, window, every)[: -(-_SEGMENT // every)]
