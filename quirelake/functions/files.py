@@ -93,3 +93,60 @@ def move_element(items: Column, source: Column, target: Column) -> Column:
     rest = F.concat(F.slice(items, F.lit(1), F.greatest(source, F.lit(0))), F.slice(items, source + 2, F.greatest(n, F.lit(0))))
     moved = F.concat(F.slice(rest, F.lit(1), F.greatest(target, F.lit(0))), F.slice(items, source + 1, F.lit(1)), F.slice(rest, target + 1, n))
     return F.when(inside, moved).otherwise(items)
+
+
+def open_route(paths: Column) -> Column:
+    """How a list of existing paths is opened: ``djvu``, ``pdf``, ``combined``, ``invalid``, or null for none.
+
+    All must be of a kind that can be opened; a DjVu document is opened alone only.
+    """
+    n = F.size(paths)
+    known = F.forall(paths, lambda p: F.coalesce(ending(p).isin(*OPENABLE), F.lit(False)))
+    djvu = F.exists(paths, lambda p: ending(p).isin(".djvu", ".djv"))
+    return (
+        F.when(n <= 0, F.lit(None).cast("string"))
+        .when(~known, "invalid")
+        .when(djvu, F.when(n == 1, "djvu").otherwise("invalid"))
+        .when((n == 1) & (ending(F.get(paths, F.lit(0))) == ".pdf"), "pdf")
+        .otherwise("combined")
+    )
+
+
+def version_parts(version: Column) -> Column:
+    """A version's numbers, without a leading v, what follows a hyphen, and closing zeros, so
+    that arrays compare as versions do; parts that are no number count 0."""
+    flat = F.element_at(F.split(F.regexp_replace(F.trim(F.coalesce(version, F.lit(""))), "(?i)^v", ""), "-"), 1)
+    parts = F.transform(F.split(flat, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    last = F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.lit(0), lambda acc, i: F.when(F.element_at(parts, i) != 0, i).otherwise(acc))
+    return F.slice(parts, F.lit(1), last)
+
+
+def geo(headers: Column) -> Column:
+    """``struct<country, city, region>`` of a request's headers; null where one is missing."""
+    part = lambda name: F.try_element_at(headers, F.lit(name))
+    return F.struct(part("x-vercel-ip-country").alias("country"), part("x-vercel-ip-city").alias("city"), part("x-vercel-ip-country-region").alias("region"))
+
+
+def recognition_response(ok: Column, text: Column, error: Column) -> Column:
+    """``struct<success, text, error>``: a result as the text or, where it failed, the error."""
+    return F.struct(ok.alias("success"), F.when(ok, F.coalesce(text, F.lit(""))).alias("text"), F.when(~ok, F.coalesce(error, F.lit("Unknown error"))).alias("error"))
+
+
+LOCALES = ("en", "ru", "fr", "de", "es", "it", "pt", "nl")
+
+
+def settings(raw: Column) -> Column:
+    """Settings of a JSON text field by field; a field of another type has its default, and what
+    is no JSON has all defaults."""
+    v = F.try_parse_json(raw)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    text = lambda f: F.when(kind(f) == "STRING", F.try_variant_get(v, f"$.{f}", "string"))
+    number = F.when(kind("version").rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"), F.try_variant_get(v, "$.version", "int"))
+    return F.struct(
+        F.coalesce(number, F.lit(1)).alias("version"),
+        F.coalesce(text("authorName"), F.lit("")).alias("author"),
+        F.when(text("theme") == "dark", "dark").otherwise("light").alias("theme"),
+        F.when(text("locale").isin(*LOCALES), text("locale")).otherwise("en").alias("locale"),
+        F.when(kind("suppress") == "BOOLEAN", F.try_variant_get(v, "$.suppress", "boolean")).alias("suppress"),
+        F.nullif(F.trim(text("skipped")), F.lit("")).alias("skipped"),
+    )

@@ -160,3 +160,9 @@ def word_bounds(text: Column, at: Column) -> Column:
         near.isNotNull(),
         F.struct((near - run(before(near), word + r"\z")).alias("start"), (near + run(after(near), r"\A" + word)).alias("stop")),
     ).when(size > 0, F.struct(at.alias("start"), (at + 1).alias("stop")))
+
+
+def eta_label(ms: Column) -> Column:
+    """Milliseconds left as ``m:ss``, at least a second; null for nothing left."""
+    seconds = F.greatest(F.lit(1), F.floor(ms / 1000 + 0.5)).cast("long")
+    return F.when(ms > 0, F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0")))

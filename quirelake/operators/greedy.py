@@ -26,20 +26,25 @@ def _iou(a, b) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+# Overlap, distance of centres and ratio of areas at which two marks are one.
+SAME_IOU, SAME_CENTRE, SAME_AREA = 0.46, 0.045, 2.8
+
+
 def _alike(a, b) -> bool:
     """Whether two rectangles can be one mark: they overlap well, or lie close with like areas."""
-    if _iou(a, b) >= 0.46:
+    if _iou(a, b) >= SAME_IOU:
         return True
     sizes = sorted(((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])))
     off = hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
-    return off <= 0.045 and sizes[1] / max(1e-6, sizes[0]) <= 2.8
+    return off <= SAME_CENTRE and sizes[1] / max(1e-6, sizes[0]) <= SAME_AREA
 
 
 def resolve(comments: DataFrame) -> DataFrame:
     """``(page, id, entity)``: comments that are one logical comment get its first row's id.
 
-    ``comments`` has ``page, place, id, ann_id, uid, text, left, top, right, bottom``; ``place``
-    is the order of merging. A comment joins the first earlier entity that is the same: by
+    ``comments`` has ``page, place, id, ann_id, uid, text, markup, left, top, right, bottom``;
+    ``place`` is the order of merging, ``markup`` whether it marks text (others are never one
+    by their rectangles). A comment joins the first earlier entity that is the same: by
     annotation id where both have one, else by uid where both have one, else by texts that do
     not contradict and rectangles that are alike. The order decides, so a page's comments are
     worked on together; a page holds what one page shows.
@@ -47,25 +52,26 @@ def resolve(comments: DataFrame) -> DataFrame:
 
     def walk(key, rows):
         kept: list[tuple] = []
-        for _, i, ann, uid, text, l, t, r, b in rows:
+        for _, i, ann, uid, text, markup, l, t, r, b in rows:
             text, box, entity = (text or "").strip(), (l, t, r, b), None
-            for k_id, k_ann, k_uid, k_text, k_box in kept:
+            for k_id, k_ann, k_uid, k_text, k_markup, k_box in kept:
                 if ann and k_ann:
                     same = ann == k_ann
                 elif uid and k_uid:
                     same = uid == k_uid
                 else:
-                    same = (not text or not k_text or text == k_text) and _alike(box, k_box)
+                    agree = not (ann or uid or k_ann or k_uid) or not text or not k_text or text == k_text
+                    same = agree and markup and k_markup and _alike(box, k_box)
                 if same:
                     entity = k_id
                     break
             if entity is None:
                 entity = i
-                kept.append((i, ann, uid, text, box))
+                kept.append((i, ann, uid, text, markup, box))
             yield (*key, i, entity)
 
     kind = comments.schema["page"].dataType.simpleString()
-    return per_group(comments, ["page"], ["place", "id"], ["ann_id", "uid", "text", "left", "top", "right", "bottom"], walk, f"page {kind}, id long, entity long")
+    return per_group(comments, ["page"], ["place", "id"], ["ann_id", "uid", "text", "markup", "left", "top", "right", "bottom"], walk, f"page {kind}, id long, entity long")
 
 
 def assign(marks: DataFrame, hints: DataFrame, least: float = 0.2) -> DataFrame:
@@ -136,12 +142,28 @@ def layout_rects(nodes: DataFrame) -> DataFrame:
     return path.select("id", F.aggregate("path", unit, step).alias("b")).select("id", "b.*")
 
 
-def right_neighbour(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, id, next)``: of the boxes of a group wholly to the right, the nearest, then the one
-    that overlaps most in height, then the smaller id; groups are the panes of one window."""
-    a = boxes.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("id", "left", "top", "right", "bottom")])
-    b = boxes.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "left", "top", "right", "bottom")])
-    met = a.join(b, keys).where((F.col("b_left") >= F.col("a_right") - 1e-6) & (F.col("a_id") != F.col("b_id")))
-    shared = overlap(F.col("a_top"), F.col("a_bottom"), F.col("b_top"), F.col("b_bottom"))
-    best = F.min(F.struct((F.col("b_left") - F.col("a_right")).alias("d"), (-shared).alias("o"), F.col("b_id").alias("id"))).alias("m")
-    return met.groupBy(*keys, "a_id").agg(best).select(*keys, F.col("a_id").alias("id"), F.col("m.id").alias("next"))
+def directional_neighbour(boxes: DataFrame, keys: list[str], direction: str = "right", wrap: bool = True) -> DataFrame:
+    """``(keys, id, next)``: of the panes of a window wholly on that side, the nearest, then the one
+    that overlaps most across, then the most recently used, then the smaller id.
+
+    ``boxes`` has ``id, left, top, right, bottom`` and, where there is one, ``mru`` (0 the latest,
+    null never). Where no pane lies on that side and ``wrap`` holds, the one farthest on the other
+    side follows, by the same order. A window alone has no neighbour. The panes of one window
+    are few; its pairs are compared.
+    """
+    if direction not in ("right", "left", "down", "up"):
+        raise ValueError(direction)
+    along, across = (("left", "right"), ("top", "bottom"))
+    if direction in ("down", "up"):
+        along, across = across, along
+    lo, hi = (F.col(along[0]), F.col(along[1])) if direction in ("right", "down") else (-F.col(along[1]), -F.col(along[0]))
+    flat = boxes.select(*keys, "id", lo.alias("lo"), hi.alias("hi"), F.col(across[0]).alias("x0"), F.col(across[1]).alias("x1"), (F.coalesce("mru", F.lit(1 << 30)) if "mru" in boxes.columns else F.lit(0)).alias("mru"))
+    other = flat.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "lo", "hi", "x0", "x1", "mru")])
+    met = flat.join(other, keys).where(F.col("id") != F.col("b_id"))
+    beyond = F.col("b_lo") >= F.col("hi") - 1e-6
+    shared = overlap(F.col("x0"), F.col("x1"), F.col("b_x0"), F.col("b_x1"))
+    distance = F.when(beyond, F.col("b_lo") - F.col("hi")).otherwise(F.col("b_lo"))
+    if not wrap:
+        met = met.where(beyond)
+    best = F.min(F.struct((~beyond).alias("w"), distance.alias("d"), (-shared).alias("o"), F.col("b_mru").alias("m"), F.col("b_id").alias("id"))).alias("best")
+    return met.groupBy(*keys, "id").agg(best).select(*keys, "id", F.col("best.id").alias("next"))

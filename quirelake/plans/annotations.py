@@ -53,15 +53,6 @@ def f14_visible(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).where((top < 15.5) & (top + F.col("h") > 5.25)).select("id")
 
 
-@query("WITH want AS (SELECT DISTINCT pdf_path, page_number FROM page_text WHERE page_number BETWEEN 3 AND 14), done AS (SELECT DISTINCT r.pdf_path, m.page_number FROM search_match m JOIN search_request r USING (request_id)), todo AS (SELECT * FROM want EXCEPT SELECT * FROM done) SELECT pdf_path, page_number, CAST((row_number() OVER (PARTITION BY pdf_path ORDER BY page_number) - 1) // 3 AS INT) AS batch FROM todo")
-def f19_pages_to_render(spark: SparkSession, folder: str) -> DataFrame:
-    want = table(spark, folder, "page_text").where("page_number BETWEEN 3 AND 14").select("pdf_path", "page_number").distinct()
-    done = table(spark, folder, "search_match").join(table(spark, folder, "search_request").select("request_id", "pdf_path").distinct(), "request_id")
-    todo = want.join(done.select("pdf_path", "page_number"), ["pdf_path", "page_number"], "left_anti")
-    w = Window.partitionBy("pdf_path").orderBy("page_number")
-    return todo.select("pdf_path", "page_number", F.floor((F.row_number().over(w) - 1) / 3).cast("int").alias("batch"))
-
-
 @query(_C + "SELECT a.id, p.id AS popup FROM c a LEFT JOIN c p ON p.id = a.id + 3 AND p.page = a.page AND p.source = 'pdf'")
 def j01_popups(spark: SparkSession, folder: str) -> DataFrame:
     c = comments(spark, folder)
@@ -81,22 +72,6 @@ def j10_merged_sources(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("page", "uid", F.coalesce("e", "p").alias("id"), "at_us", (F.col("e").isNotNull() & F.col("p").isNotNull()).alias("merged"))
 
 
-@query(
-    _C
-    + ", a AS (SELECT id, page, ann_id, uid FROM c WHERE id % 2 = 1), b AS (SELECT id, page, ann_id, uid FROM c WHERE id % 2 = 0), m AS (SELECT a.id, 1 AS k, b.id AS hit FROM a JOIN b ON a.page = b.page AND a.uid = b.uid AND a.uid <> '' UNION ALL SELECT a.id, 2, b.id FROM a JOIN b ON b.id = a.id + 1) "
-    "SELECT id, hit FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, hit) AS r FROM m) WHERE r = 1"
-)
-def j12_cascading_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    c = comments(spark, folder)
-    a, b = c.where("id % 2 = 1"), c.where("id % 2 = 0")
-    # of the rows that share a key only the first can win, so each key keeps one
-    first = b.where("uid <> ''").groupBy("page", "uid").agg(F.min("id").alias("hit"))
-    by_uid = a.join(first, ["page", "uid"]).select("id", F.lit(1).alias("k"), "hit")
-    by_id = a.select("id").join(b.select((F.col("id") - 1).alias("id"), F.col("id").alias("hit")), "id").select("id", F.lit(2).alias("k"), "hit")
-    best = by_uid.unionAll(by_id).groupBy("id").agg(F.min(F.struct("k", "hit")).alias("m"))
-    return best.select("id", F.col("m.hit").alias("hit"))
-
-
 @query(_C + ", g AS (SELECT page, max(id) AS id FROM c GROUP BY 1) SELECT page, max(id) OVER (ORDER BY page) AS active FROM g")
 def j23_active_bookmark(spark: SparkSession, folder: str) -> DataFrame:
     # a page's last node; over the pages up to it by prefix maxima of blocks, so no window holds all pages
@@ -145,14 +120,6 @@ def a20_distinct_lists(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("source IS NOT NULL").groupBy("source").agg(kinds.alias("kinds"))
 
 
-@query("WITH f AS (SELECT pdf_path, CAST(max(page_number) AS INT) AS n FROM page_text GROUP BY 1), q AS (SELECT pdf_path, p, min(k) AS k FROM (SELECT pdf_path, n, unnest([5]) AS p, 0 AS k FROM f UNION ALL SELECT pdf_path, n, unnest(range(4, 7)), 1 FROM f UNION ALL SELECT pdf_path, n, unnest(range(1, 13)), 2 FROM f) WHERE p BETWEEN 1 AND n GROUP BY pdf_path, p) SELECT pdf_path, CAST(p AS INT) AS page, CAST(row_number() OVER (PARTITION BY pdf_path ORDER BY k, p) AS INT) AS place FROM q")
-def o08_render_queue(spark: SparkSession, folder: str) -> DataFrame:
-    f = table(spark, folder, "page_text").groupBy("pdf_path").agg(F.max("page_number").alias("n"))
-    p = f.select("pdf_path", "n", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(12)))).alias("page"))
-    k = F.when(F.col("page") == 5, 0).when(F.col("page").between(4, 6), 1).otherwise(2)
-    return p.select("pdf_path", "page", F.row_number().over(Window.partitionBy("pdf_path").orderBy(k, "page")).alias("place"))
-
-
 @query("WITH n AS (SELECT request_id, match_index, row_number() OVER (PARTITION BY request_id ORDER BY match_index) - 1 AS i, count(*) OVER (PARTITION BY request_id) AS n FROM search_match) SELECT request_id, match_index, (i + 1) % n AS next_i, (i - 1 + n) % n AS prev_i FROM n")
 def o15_match_cursor(spark: SparkSession, folder: str) -> DataFrame:
     by = Window.partitionBy("request_id")
@@ -160,14 +127,6 @@ def o15_match_cursor(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("request_id", "match_index", F.pmod(F.col("i") + 1, F.col("n")).alias("next_i"), F.pmod(F.col("i") - 1, F.col("n")).alias("prev_i"))
 
 
-@query("WITH p AS (SELECT pdf_path, page_number, page_id, CASE WHEN page_number <= 3 THEN 0 ELSE 2 END AS seg FROM page_text), n AS (SELECT DISTINCT pdf_path, 0 AS page_number, -1 AS page_id, 1 AS seg FROM page_text) SELECT pdf_path, page_id, CAST(row_number() OVER (PARTITION BY pdf_path ORDER BY seg, page_number, page_id) AS INT) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM n)")
-def u01_inserted_pages(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "page_text").select("pdf_path", "page_number", "page_id", F.when(F.col("page_number") <= 3, 0).otherwise(2).alias("seg"))
-    new = p.select("pdf_path").distinct().select("pdf_path", F.lit(0).alias("page_number"), F.lit(-1).cast("long").alias("page_id"), F.lit(1).alias("seg"))
-    w = Window.partitionBy("pdf_path").orderBy("seg", "page_number", "page_id")
-    return p.unionAll(new).select("pdf_path", "page_id", F.row_number().over(w).alias("place"))
-
-
 @query("WITH a AS (SELECT DISTINCT page_number AS p FROM search_match), b AS (SELECT DISTINCT page_number AS p FROM page_text WHERE page_number % 2 = 0) SELECT p FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))")
 def u10_toggled_pages(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "search_match").select(F.col("page_number").alias("p")).distinct()
@@ -184,13 +143,6 @@ def u16_ranged_update(spark: SparkSession, folder: str) -> DataFrame:
     return s.crossJoin(F.broadcast(model)).select("s_suppkey", F.when(F.col("s_suppkey").between(20, 45), F.col("m")).otherwise(F.col("s_nationkey")).alias("colour"))
 
 
-@query("SELECT pdf_path, max(epoch_us(requested_at)) AS used, CAST(row_number() OVER (ORDER BY max(epoch_us(requested_at)) DESC, pdf_path) AS INT) AS place FROM search_request GROUP BY pdf_path QUALIFY row_number() OVER (ORDER BY max(epoch_us(requested_at)) DESC, pdf_path) <= 50")
-def u21_recently_used(spark: SparkSession, folder: str) -> DataFrame:
-    last = table(spark, folder, "search_request").groupBy("pdf_path").agg(F.max(micros(F.col("requested_at"))).alias("used")).orderBy(F.col("used").desc(), "pdf_path").limit(50)
-    # numbered after the limit
-    return last.select("pdf_path", "used", F.row_number().over(Window.orderBy(F.col("used").desc(), "pdf_path")).alias("place"))
-
-
 @query("WITH m AS (SELECT max(epoch_us(requested_at)) AS now FROM search_request), d AS (SELECT request_id, (now - epoch_us(requested_at)) // 60000000 AS mins FROM search_request, m) SELECT DISTINCT request_id, CASE WHEN mins >= 2880 THEN (mins // 1440) || ' days ago' WHEN mins >= 1440 THEN 'yesterday' WHEN mins >= 120 THEN (mins // 60) || ' hours ago' WHEN mins >= 60 THEN 'an hour ago' WHEN mins >= 2 THEN mins || ' minutes ago' WHEN mins >= 1 THEN 'a minute ago' ELSE 'just now' END AS age FROM d")
 def x05_relative_times(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "search_request").select("request_id", micros(F.col("requested_at")).alias("t"))
@@ -217,14 +169,6 @@ def x26_object_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return comments(spark, folder).where("ann_id IS NOT NULL").select("id", F.regexp_extract("ann_id", r"^(\d+)R", 1).try_cast("int").alias("object_no"))
 
 
-@query("SELECT page_id, (page_number // 60) || ':' || lpad((page_number % 60)::VARCHAR, 2, '0') AS clock, array_to_string(string_split(pdf_path, '/')[-3:-2], '/') AS folders FROM page_text WHERE page_number > 0")
-def x34_clock_and_folders(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("page_number")
-    parts = F.split("pdf_path", "/")
-    clock = F.concat(F.floor(n / 60).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))
-    return table(spark, folder, "page_text").where("page_number > 0").select("page_id", clock.alias("clock"), F.array_join(F.slice(parts, F.size(parts) - 2, 2), "/").alias("folders"))
-
-
 @query(_C + "SELECT id, round(atan2(h, w + 0.001), 9) AS angle, round((l + w) * 1000 - 12 * cos(atan2(h, w + 0.001) - 0.5), 6) AS x1 FROM c")
 def x35_arrow_heads(spark: SparkSession, folder: str) -> DataFrame:
     a = F.atan2(F.col("h"), F.col("w") + 0.001)

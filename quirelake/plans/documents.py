@@ -189,12 +189,6 @@ def j21_missing_models(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page_text").where(F.col("lang").isNotNull()).join(langs, "lang", "left_anti").select("page_id", "lang")
 
 
-@query("SELECT script IN ('latin', 'cyrillic') AS together, string_agg(code, ',' ORDER BY code) AS codes FROM ocr_language GROUP BY 1")
-def f16_language_groups(spark: SparkSession, folder: str) -> DataFrame:
-    langs = table(spark, folder, "ocr_language")
-    return langs.groupBy(F.col("script").isin("latin", "cyrillic").alias("together")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
-
-
 # notes: documents read as comments of their source, 25 a page
 _NOTES = "WITH n AS (SELECT doc_id, doc_id // 25 + 1 AS page, coalesce(text, '') AS text, coalesce(source, '') AS author, kind, epoch_us(added_at) AS at_us FROM documents) "
 

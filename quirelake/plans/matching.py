@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.functions import comments as cm
 from quirelake.functions import text as fx
 from quirelake.operators import greedy
 from quirelake.plans.annotations import comments
@@ -19,8 +20,12 @@ def _boxed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def u06_resolved_comments(spark: SparkSession, folder: str) -> DataFrame:
-    place = F.when(F.col("ann_id").isNotNull(), 0).otherwise(1)
-    return greedy.resolve(_boxed(spark, folder).withColumn("place", place))
+    c = _boxed(spark, folder)
+    points = cm.merge_points(F.col("ann_id"), F.col("uid"), F.col("source"), F.col("text"), F.lit(False), F.col("at_us"), F.col("left"))
+    # by points, then the latest
+    place = F.struct(-points, -F.coalesce("at_us", F.lit(0)))
+    # every third comment is no mark on text
+    return greedy.resolve(c.withColumn("place", place).withColumn("markup", F.col("id") % 3 != 1))
 
 
 @query()
@@ -58,14 +63,37 @@ def proj_p08_layout_rects(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("id", *[F.round(c, 9).alias(c) for c in ("x", "y", "width", "height")])
 
 
-@query(
-    "WITH b AS (SELECT vec_id AS id, label AS page, CAST(floor(abs(embedding[1]) * 1000) AS DOUBLE) AS l, CAST(floor(abs(embedding[2]) * 1000) AS DOUBLE) AS t FROM embeddings), x AS (SELECT id, page, l, t, l + 20 AS r, t + 30 AS bo FROM b), "
-    "m AS (SELECT a.page, a.id, b.id AS next, row_number() OVER (PARTITION BY a.page, a.id ORDER BY b.l - a.r, -greatest(0, least(a.bo, b.bo) - greatest(a.t, b.t)), b.id) AS k FROM x a JOIN x b ON a.page = b.page AND a.id <> b.id AND b.l >= a.r - 1e-6) SELECT page, id, next FROM m WHERE k = 1"
+# panes of windows: eight boxes of the embeddings each, most recently used by a rule
+_PANES = (
+    "WITH b AS (SELECT vec_id AS id, vec_id // 8 AS page, CAST(floor(abs(embedding[1]) * 1000) AS DOUBLE) AS l, CAST(floor(abs(embedding[2]) * 1000) AS DOUBLE) AS t, CASE WHEN vec_id % 5 <> 0 THEN vec_id * 7 % 11 END AS mru FROM embeddings), x AS (SELECT id, page, l, t, l + 20 AS r, t + 30 AS bo, coalesce(mru, 1073741824) AS mru FROM b), "
 )
-def j14_right_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+_SIDES = {
+    "right": ("b.l >= a.r - 1e-6", "b.l - a.r", "b.l", "t", "bo"),
+    "left": ("b.r <= a.l + 1e-6", "a.l - b.r", "-b.r", "t", "bo"),
+    "down": ("b.t >= a.bo - 1e-6", "b.t - a.bo", "b.t", "l", "r"),
+    "up": ("b.bo <= a.t + 1e-6", "a.t - b.bo", "-b.bo", "l", "r"),
+}
+
+
+def _neighbour_sql() -> str:
+    parts = [
+        f"SELECT '{side}' AS side, a.page, a.id, b.id AS next, row_number() OVER (PARTITION BY a.page, a.id ORDER BY NOT ({beyond}), CASE WHEN {beyond} THEN {d} ELSE {far} END, -greatest(0, least(a.{y1}, b.{y1}) - greatest(a.{y0}, b.{y0})), b.mru, b.id) AS k FROM x a JOIN x b ON a.page = b.page AND a.id <> b.id"
+        for side, (beyond, d, far, y0, y1) in _SIDES.items()
+    ]
+    return _PANES + "m AS (" + " UNION ALL ".join(parts) + ") SELECT side, page, id, next FROM m WHERE k = 1"
+
+
+@query(_neighbour_sql())
+def j14_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda i: F.floor(F.abs(F.col("embedding")[i]) * 1000).cast("double")
-    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), part(0).alias("left"), part(1).alias("top"))
-    return greedy.right_neighbour(e.select("*", (F.col("left") + 20).alias("right"), (F.col("top") + 30).alias("bottom")), ["page"])
+    v = F.col("vec_id")
+    e = table(spark, folder, "embeddings").select(v.alias("id"), F.floor(v / 8).alias("page"), part(0).alias("left"), part(1).alias("top"), F.when(v % 5 != 0, v * 7 % 11).alias("mru"))
+    e = e.select("*", (F.col("left") + 20).alias("right"), (F.col("top") + 30).alias("bottom"))
+    out = None
+    for side in _SIDES:
+        one = greedy.directional_neighbour(e, ["page"], side).withColumn("side", F.lit(side))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _AT = "WITH d AS (SELECT doc_id, text, CAST(doc_id * 7919 % length(text) AS INT) AS at FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\x00-\\x7E]')), w AS (SELECT * FROM d WHERE NOT regexp_matches(substring(text, at + 1, 1), '\\s')) "

@@ -111,17 +111,6 @@ def o07_installer_order(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "release_asset").select("id", F.row_number().over(w).alias("place"))
 
 
-@query(
-    "SELECT v, CAST(row_number() OVER (ORDER BY CAST(p[1] AS INT), CAST(p[2] AS INT), CAST(p[3] AS INT)) AS INT) AS place FROM "
-    "(SELECT v, string_split(v, '.') AS p FROM (SELECT DISTINCT version AS v FROM landing_download WHERE regexp_matches(version, '^\\d+\\.\\d+\\.\\d+$')))"
-)
-def o14_version_order(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "landing_download").where(F.col("version").rlike(r"^\d+\.\d+\.\d+$")).select(F.col("version").alias("v")).distinct()
-    # the distinct versions of one product
-    w = Window.orderBy(F.transform(F.split("v", r"\."), lambda x: x.cast("int")))
-    return v.select("v", F.row_number().over(w).alias("place"))
-
-
 @query(f"SELECT platform, arch, count(*) AS n FROM (SELECT {_UA_P} AS platform, {_UA_A} AS arch FROM (SELECT lower(coalesce(user_agent, '')) AS u FROM landing_page_view)) GROUP BY 1, 2")
 def proj_p12_agents(spark: SparkSession, folder: str) -> DataFrame:
     a = F.col("user_agent")

@@ -428,3 +428,273 @@ def a16_projections(spark: SparkSession, folder: str) -> DataFrame:
 def w12_ranks(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     return table(spark, folder, "orders").select("o_orderkey", F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"))
+
+
+# ---- render plans: the page asked for last is the current one ----------------------------
+
+_PLAN = "WITH f AS (SELECT pdf_path, CAST(max(page_number) AS INT) AS n FROM page_text GROUP BY 1), w AS (SELECT pdf_path, n, n // 2 + 1 AS cur, n // 3 + 1 AS v0, n // 3 + 3 AS v1 FROM f), p AS (SELECT *, CAST(unnest(range(1, n + 1)) AS INT) AS page FROM w) "
+
+
+def _plan(spark: SparkSession, folder: str) -> DataFrame:
+    f = table(spark, folder, "page_text").groupBy("pdf_path").agg(F.max("page_number").alias("n"))
+    third = F.floor(F.col("n") / 3).cast("int")
+    w = f.select("pdf_path", "n", (F.floor(F.col("n") / 2) + 1).cast("int").alias("cur"), (third + 1).alias("v0"), (third + 3).alias("v1"))
+    return w.select("*", F.explode(F.sequence(F.lit(1), "n")).alias("page"))
+
+
+@query(_PLAN + "SELECT pdf_path, page, CAST(row_number() OVER (PARTITION BY pdf_path ORDER BY k, page) AS INT) AS place FROM (SELECT pdf_path, page, CASE WHEN page = cur THEN 0 WHEN abs(page - cur) <= 1 THEN 1 WHEN page BETWEEN v0 - 1 AND v1 + 1 THEN 2 WHEN abs(page - cur) <= 8 THEN 3 END AS k FROM p WHERE page % 5 <> 4) WHERE k IS NOT NULL")
+def o08_render_queue(spark: SparkSession, folder: str) -> DataFrame:
+    # every fifth page is rendered already
+    near = lambda n: F.abs(F.col("page") - F.col("cur")) <= n
+    k = F.when(F.col("page") == F.col("cur"), 0).when(near(1), 1).when(F.col("page").between(F.col("v0") - 1, F.col("v1") + 1), 2).when(near(8), 3)
+    p = _plan(spark, folder).where("page % 5 <> 4").withColumn("k", k).where("k IS NOT NULL")
+    return p.select("pdf_path", "page", F.row_number().over(Window.partitionBy("pdf_path").orderBy("k", "page")).alias("place"))
+
+
+_SHOWN = _PLAN + ", d AS (SELECT DISTINCT r.pdf_path, m.page_number AS page FROM search_match m JOIN search_request r USING (request_id)) "
+
+
+def _rendered(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "search_request").select("request_id", "pdf_path").distinct()
+    return table(spark, folder, "search_match").join(r, "request_id").select("pdf_path", F.col("page_number").alias("page")).distinct()
+
+
+@query(_SHOWN + "SELECT pdf_path, page, CAST((row_number() OVER (PARTITION BY pdf_path ORDER BY page) - 1) // 3 AS INT) AS batch FROM p ANTI JOIN d USING (pdf_path, page) WHERE page BETWEEN v0 - 2 AND v1 + 2")
+def f19_pages_to_render(spark: SparkSession, folder: str) -> DataFrame:
+    todo = _plan(spark, folder).where("page BETWEEN v0 - 2 AND v1 + 2").join(_rendered(spark, folder), ["pdf_path", "page"], "left_anti")
+    w = Window.partitionBy("pdf_path").orderBy("page")
+    return todo.select("pdf_path", "page", F.floor((F.row_number().over(w) - 1) / 3).cast("int").alias("batch"))
+
+
+@query(_SHOWN + "SELECT d.pdf_path, d.page FROM d LEFT JOIN w USING (pdf_path) WHERE w.n IS NULL OR NOT d.page BETWEEN greatest(1, v0 - 2) AND least(n, v1 + 2)")
+def f19_pages_to_drop(spark: SparkSession, folder: str) -> DataFrame:
+    kept = _plan(spark, folder).where("page BETWEEN v0 - 2 AND v1 + 2")
+    return _rendered(spark, folder).join(kept.select("pdf_path", "page"), ["pdf_path", "page"], "left_anti")
+
+
+@query(
+    _C
+    + ", a AS (SELECT id, page, ann_id, uid, source, id + 1 AS other FROM c WHERE id % 2 = 1), b AS (SELECT id, page, ann_id, uid, source FROM c WHERE id % 2 = 0), "
+    "m AS (SELECT a.id, 1 AS k, b.id AS hit FROM a JOIN b ON a.page = b.page AND a.ann_id = b.ann_id UNION ALL SELECT a.id, 2, b.id FROM a JOIN b ON a.page = b.page AND a.uid = b.uid AND a.uid <> '' UNION ALL SELECT a.id, 3, b.id FROM a JOIN b ON a.page = b.page AND a.other = b.id) "
+    "SELECT id, CAST(k AS INT) AS step, hit FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, hit) AS r FROM m) WHERE r = 1"
+)
+def j12_cascading_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    # by annotation and page, else by editor and page, else by id and page; of several the first
+    c = comments(spark, folder)
+    a, b = c.where("id % 2 = 1").withColumn("other", F.col("id") + 1), c.where("id % 2 = 0")
+    # of the rows that share a key only the first can win, so each key keeps one
+    keep = lambda cols: b.where(" AND ".join(f"{x} <> ''" for x in cols[1:])).groupBy(*cols).agg(F.min("id").alias("hit"))
+    steps = [
+        a.join(keep(["page", "ann_id"]), ["page", "ann_id"]).select("id", F.lit(1).alias("k"), "hit"),
+        a.join(keep(["page", "uid"]), ["page", "uid"]).select("id", F.lit(2).alias("k"), "hit"),
+        a.select("id", "page", F.col("other").alias("hit")).join(b.select("page", F.col("id").alias("hit")), ["page", "hit"]).select("id", F.lit(3).alias("k"), "hit"),
+    ]
+    best = steps[0].unionAll(steps[1]).unionAll(steps[2]).groupBy("id").agg(F.min(F.struct("k", "hit")).alias("m"))
+    return best.select("id", F.col("m.k").alias("step"), F.col("m.hit").alias("hit"))
+
+
+# ---- routes, settings, versions, responses -----------------------------------------------
+
+@query(
+    "WITH p AS (SELECT DISTINCT pdf_path FROM page_text), g AS (SELECT grp, array_agg(pdf_path ORDER BY pdf_path) AS ps FROM (SELECT md5(pdf_path)[1:2] AS grp, CASE WHEN md5(pdf_path)[3:3] = '0' THEN pdf_path || '.txt' ELSE pdf_path END AS pdf_path FROM p) GROUP BY 1) "
+    "SELECT grp, CASE WHEN len(list_filter(ps, lambda x: NOT regexp_matches(lower(x), '\\.(pdf|djvu|djv)$'))) > 0 THEN 'invalid' WHEN len(list_filter(ps, lambda x: regexp_matches(lower(x), '\\.djvu?$'))) > 0 THEN CASE WHEN len(ps) = 1 THEN 'djvu' ELSE 'invalid' END WHEN len(ps) = 1 THEN 'pdf' ELSE 'combined' END AS route FROM g"
+)
+def f17_open_routes(spark: SparkSession, folder: str) -> DataFrame:
+    # requests of a few files each; one in sixteen files is of a kind that cannot be opened
+    p = table(spark, folder, "page_text").select("pdf_path").distinct()
+    h = F.md5("pdf_path")
+    p = p.select(F.substring(h, 1, 2).alias("grp"), F.when(F.substring(h, 3, 1) == "0", F.concat("pdf_path", F.lit(".txt"))).otherwise(F.col("pdf_path")).alias("path"))
+    return p.groupBy("grp").agg(F.array_sort(F.collect_list("path")).alias("ps")).select("grp", fi.open_route(F.col("ps")).alias("route"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, doc_id % 7 AS k FROM documents) SELECT doc_id, CASE WHEN k IN (0, 3) THEN 2 ELSE 1 END AS version, CASE WHEN k = 1 THEN 'A' || doc_id ELSE '' END AS author, CASE WHEN k = 2 THEN 'dark' ELSE 'light' END AS theme, CASE WHEN k IN (0, 4) THEN 'fr' ELSE 'en' END AS locale, CASE WHEN k = 3 THEN true END AS suppress, CASE WHEN k = 4 THEN '1.2' END AS skipped FROM s"
+)
+def proj_p14_settings(spark: SparkSession, folder: str) -> DataFrame:
+    # seven kinds of stored settings, the sixth of wrong types and the last no JSON
+    k = F.col("doc_id") % 7
+    raw = (
+        F.when(k == 0, '{"version": 2, "locale": "fr", "theme": "blue"}')
+        .when(k == 1, F.concat(F.lit('{"authorName": "A'), F.col("doc_id").cast("string"), F.lit('", "version": "3"}')))
+        .when(k == 2, '{"theme": "dark", "locale": "xx"}')
+        .when(k == 3, '{"version": 2, "suppress": true, "skipped": "  "}')
+        .when(k == 4, '{"skipped": " 1.2 ", "locale": "fr", "suppress": "yes"}')
+        .when(k == 5, '{"version": null, "authorName": 5, "theme": ["dark"], "locale": 1}')
+        .otherwise("{broken")
+    )
+    return table(spark, folder, "documents").select("doc_id", fi.settings(raw).alias("s")).select("doc_id", "s.*")
+
+
+_VERSIONS = "WITH v AS (SELECT DISTINCT CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN 'v' || version WHEN 1 THEN version || '-beta.2' WHEN 2 THEN ' V' || version || '.0' WHEN 3 THEN split_part(version, '.', 1) ELSE version END AS v FROM landing_download WHERE version IS NOT NULL AND id IS NOT NULL), p AS (SELECT v, string_split(string_split(regexp_replace(trim(v), '^[vV]', ''), '-')[1], '.') AS p FROM v) "
+
+
+@query(_VERSIONS + "SELECT v, CAST(rank() OVER (ORDER BY coalesce(TRY_CAST(p[1] AS INT), 0), coalesce(TRY_CAST(p[2] AS INT), 0), coalesce(TRY_CAST(p[3] AS INT), 0), coalesce(TRY_CAST(p[4] AS INT), 0)) AS INT) AS place FROM p")
+def o14_version_order(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("id") % 5
+    said = F.when(k == 0, F.concat(F.lit("v"), "version")).when(k == 1, F.concat("version", F.lit("-beta.2"))).when(k == 2, F.concat(F.lit(" V"), "version", F.lit(".0"))).when(k == 3, F.element_at(F.split("version", r"\."), 1)).otherwise(F.col("version"))
+    v = table(spark, folder, "landing_download").where("version IS NOT NULL AND id IS NOT NULL").select(said.alias("v")).distinct()
+    # the distinct versions of one product; equal ones share a place
+    return v.select("v", F.rank().over(Window.orderBy(fi.version_parts(F.col("v")))).alias("place"))
+
+
+@query("SELECT page_id, text IS NOT NULL AS success, CASE WHEN text IS NOT NULL THEN md5(text) END AS digest, CASE WHEN text IS NULL THEN CASE WHEN page_number % 2 = 0 THEN 'page ' || page_number ELSE 'Unknown error' END END AS error FROM page_text")
+def proj_p15_responses(spark: SparkSession, folder: str) -> DataFrame:
+    error = F.when(F.col("page_number") % 2 == 0, F.concat(F.lit("page "), F.col("page_number").cast("string")))
+    r = table(spark, folder, "page_text").select("page_id", fi.recognition_response(F.col("text").isNotNull(), F.col("text"), error).alias("r"))
+    return r.select("page_id", "r.success", F.md5("r.text").alias("digest"), "r.error")
+
+
+@query("SELECT DISTINCT id, country, CASE WHEN id % 3 <> 0 THEN city END AS city, region FROM landing_page_view")
+def x20_geo_headers(spark: SparkSession, folder: str) -> DataFrame:
+    # every third request lacks the header of the city
+    v = table(spark, folder, "landing_page_view").select("id", "country", "city", "region").distinct()
+    full = F.create_map(F.lit("x-vercel-ip-country"), F.col("country"), F.lit("x-vercel-ip-country-region"), F.col("region"))
+    headers = F.when(F.col("id") % 3 != 0, F.map_concat(full, F.create_map(F.lit("x-vercel-ip-city"), F.col("city")))).otherwise(full)
+    return v.select("id", fi.geo(headers).alias("g")).select("id", "g.*")
+
+
+@query("SELECT CASE WHEN script IN ('latin', 'cyrillic') THEN 'latin or cyrillic' WHEN script = 'greek' THEN 'greek' WHEN script = 'rtl' THEN 'rtl' END AS family, string_agg(code, ',' ORDER BY code) AS codes FROM (SELECT code, script FROM ocr_language UNION ALL SELECT * FROM (VALUES ('ell', 'greek'), ('heb', 'rtl'), ('syr', 'rtl'))) GROUP BY 1")
+def f16_language_groups(spark: SparkSession, folder: str) -> DataFrame:
+    more = spark.createDataFrame([("ell", "greek"), ("heb", "rtl"), ("syr", "rtl")], "code string, script string")
+    s = F.col("script")
+    family = F.when(s.isin("latin", "cyrillic"), "latin or cyrillic").when(s.isin("greek", "rtl"), s)
+    langs = table(spark, folder, "ocr_language").select("code", "script").unionAll(more)
+    return langs.groupBy(family.alias("family")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+
+
+@query("WITH j AS (SELECT page_id, '{\"version\": ' || page_id % 4 || ', \"pages\": {\"' || page_number || '\": {\"path\": \"p\"}, \"x\": {\"path\": \"q\"}}}' AS m, CAST(page_number + page_id % 2 AS VARCHAR) AS asked FROM page_text) SELECT page_id, CAST(m->>'$.version' AS INT) >= 2 AS has_data, CAST(m->>'$.version' AS INT) >= 2 AND list_contains(json_keys(m, '$.pages'), asked) AS has_page FROM j")
+def f15_ocr_presence(spark: SparkSession, folder: str) -> DataFrame:
+    page = F.col("page_number").cast("string")
+    m = F.concat(F.lit('{"version": '), (F.col("page_id") % 4).cast("string"), F.lit(', "pages": {"'), page, F.lit('": {"path": "p"}, "x": {"path": "q"}}}'))
+    j = table(spark, folder, "page_text").select("page_id", F.from_json(m, "version int, pages map<string, struct<path: string>>").alias("m"), (F.col("page_number") + F.col("page_id") % 2).cast("string").alias("asked"))
+    data = F.coalesce(F.col("m.version") >= 2, F.lit(False))
+    return j.select("page_id", data.alias("has_data"), (data & F.coalesce(F.map_contains_key("m.pages", F.col("asked")), F.lit(False))).alias("has_page"))
+
+
+# ---- outlines, shapes, labels ------------------------------------------------------------
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '   ' ELSE ' ' || s_name || ' ' END AS title, CASE WHEN s_suppkey % 7 <> 0 THEN s_nationkey * 2.5 - 6 END AS page, CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'Dest' || s_nationkey END AS dest, CASE s_suppkey % 3 WHEN 0 THEN '#aBc' WHEN 1 THEN '#xyz123' END AS colour FROM supplier) "
+    "SELECT id, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE trim(title) END AS title, CAST(greatest(0, least(19, trunc(page))) AS BIGINT) * CASE WHEN page IS NULL THEN NULL ELSE 1 END AS page_index, CASE WHEN trim(dest) <> '' THEN dest END AS named_dest, CASE WHEN colour = '#aBc' THEN '#aabbcc' END AS colour FROM s"
+)
+def proj_p09_bookmarks(spark: SparkSession, folder: str) -> DataFrame:
+    # bookmarks of a document of twenty pages
+    k, pages = F.col("s_suppkey"), 20
+    s = table(spark, folder, "supplier").select(
+        k.alias("id"),
+        F.trim(F.when(k % 4 == 0, "   ").otherwise(F.concat(F.lit(" "), "s_name", F.lit(" ")))).alias("title"),
+        F.when(k % 7 != 0, F.col("s_nationkey") * 2.5 - 6).alias("page"),
+        F.when(k % 3 == 0, " ").when(k % 3 == 1, F.concat(F.lit("Dest"), F.col("s_nationkey").cast("string"))).alias("dest"),
+        F.when(k % 3 == 0, "#aBc").when(k % 3 == 1, "#xyz123").alias("colour"),
+    )
+    index = F.when(F.col("page").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(pages - 1), F.col("page").cast("long"))))
+    return s.select(
+        "id", F.when(F.col("title") == "", "Untitled").otherwise(F.col("title")).alias("title"), index.cast("long").alias("page_index"),
+        F.when(F.trim("dest") != "", F.col("dest")).alias("named_dest"), co.bookmark_colour(F.col("colour")).alias("colour"),
+    )
+
+
+@query(_C + ", x AS (SELECT page, unnest(array_agg(struct_pack(id := id, w := w) ORDER BY id)) AS s FROM c GROUP BY page) SELECT page, s.id AS id, round(CASE WHEN s.id % 10 = 4 THEN s.w * 2 ELSE s.w END, 9) AS width FROM x WHERE s.id % 10 <> 7")
+def u19_edited_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    # lists of shapes by page: some are widened by their id, some deleted, then all are listed
+    lists = comments(spark, folder).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("shapes"))
+    wider = F.transform("shapes", lambda s: F.when(s["id"] % 10 == 4, F.struct(s["id"].alias("id"), (s["w"] * 2).alias("w"))).otherwise(s))
+    kept = F.filter(wider, lambda s: s["id"] % 10 != 7)
+    return lists.select("page", F.explode(kept).alias("s")).select("page", "s.id", F.round("s.w", 9).alias("width"))
+
+
+@query(_LABELS + "SELECT a.pdf_path, CAST(d.p AS INT) AS page, CASE WHEN d.p BETWEEN 3 AND least(6, n_pages) THEN 'B-' || (d.p - 3 + 5) ELSE labels[d.p] END AS label FROM a JOIN d USING (pdf_path)")
+def u17_overlaid_labels(spark: SparkSession, folder: str) -> DataFrame:
+    # pages 3 to 6 are numbered anew: B-5, B-6, ...
+    d = _pages(spark, folder).select("pdf_path", F.col("p").cast("int").alias("page"))
+    segment = lb.label(F.lit("D"), F.lit("B-"), F.lit(5), F.col("page") - 3)
+    return _labelled(spark, folder).join(d, "pdf_path").select("pdf_path", "page", F.when(F.col("page").between(3, F.least(F.lit(6), "n_pages")), segment).otherwise(F.get("labels", F.col("page") - 1)).alias("label"))
+
+
+@query()
+def u17_ranges_after_overlay(spark: SparkSession, folder: str) -> DataFrame:
+    from quirelake.operators import series
+
+    return series.infer_label_ranges(u17_overlaid_labels(spark, folder), ["pdf_path"], "page", "label")
+
+
+@query(_PLAN + ", k AS (SELECT pdf_path, n, page, row_number() OVER (PARTITION BY pdf_path ORDER BY md5(pdf_path || '/' || page || '/7')) AS r FROM p WHERE page NOT IN (1, n // 2 + 1, n)) SELECT pdf_path, page FROM p WHERE page IN (1, n // 2 + 1, n) UNION ALL SELECT pdf_path, page FROM k WHERE r <= 3")
+def u14_sampled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    # first, middle and last page, and three others by a seeded hash
+    p = _plan(spark, folder)
+    fixed = F.col("page").isin(1) | (F.col("page") == F.col("cur")) | (F.col("page") == F.col("n"))
+    draw = F.md5(F.concat_ws("/", "pdf_path", F.col("page").cast("string"), F.lit("7")))
+    others = p.where(~fixed).withColumn("r", F.row_number().over(Window.partitionBy("pdf_path").orderBy(draw))).where("r <= 3")
+    return p.where(fixed).select("pdf_path", "page").unionAll(others.select("pdf_path", "page"))
+
+
+@query("WITH e AS (SELECT user_id, event_type || '/' || CAST(floor(value) AS BIGINT) AS key, max(epoch_us(ts)) AS seen FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) SELECT user_id, key FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, key) AS r FROM e) WHERE r <= 32")
+def t08_cached_keys(spark: SparkSession, folder: str) -> DataFrame:
+    # a cache of 32 entries for each user: only writing an entry makes it new again
+    e = table(spark, folder, "events").where("value IS NOT NULL AND ts IS NOT NULL")
+    key = F.concat_ws("/", "event_type", F.floor("value").cast("string"))
+    last = e.groupBy("user_id", key.alias("key")).agg(F.max("ts").alias("at"))
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("at").desc(), "key"))
+    return last.withColumn("r", r).where("r <= 32").select("user_id", "key")
+
+
+_HALVES = "WITH h AS (SELECT vec_id, vec_id // 2 AS sheet, vec_id % 2 AS half, CASE WHEN vec_id % 9 <> 0 THEN floor(abs(embedding[1]) * 400) END AS x, floor(abs(embedding[2]) * 400) AS y, floor(abs(embedding[3]) * 300) + 300 AS w, floor(abs(embedding[4]) * 300) + 300 AS hh FROM embeddings), s AS (SELECT sheet, min(y) FILTER (WHERE x IS NOT NULL) AS y1, max(y + hh) FILTER (WHERE x IS NOT NULL) AS y2 FROM h GROUP BY 1) "
+
+
+@query(_HALVES + "SELECT vec_id, CAST(CASE WHEN x IS NULL THEN 0 WHEN half = 0 THEN greatest(0, x - 30) ELSE 0 END AS BIGINT) AS x1, CAST(CASE WHEN x IS NULL OR half = 0 THEN 1000 ELSE least(1000, x + w + 30) END AS BIGINT) AS x2, CAST(CASE WHEN x IS NULL THEN 0 ELSE greatest(0, y1 - 30) END AS BIGINT) AS y1, CAST(CASE WHEN x IS NULL THEN 1000 ELSE least(1000, y2 + 30) END AS BIGINT) AS y2 FROM h JOIN s USING (sheet)")
+def a19_shared_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    # halves of sheets of 1000 by 1000: both get the outermost top and bottom, each its own outer
+    # edge; a half without content is not cropped
+    e = lambda i, k: F.floor(F.abs(F.element_at("embedding", i)) * k)
+    v = F.col("vec_id")
+    h = table(spark, folder, "embeddings").select("vec_id", F.floor(v / 2).alias("sheet"), (v % 2).alias("half"), F.when(v % 9 != 0, e(1, 400)).alias("x"), e(2, 400).alias("y"), (e(3, 300) + 300).alias("w"), (e(4, 300) + 300).alias("h"))
+    there, pad, side = F.col("x").isNotNull(), 30, 1000
+    s = h.groupBy("sheet").agg(F.min(F.when(there, F.col("y"))).alias("top"), F.max(F.when(there, F.col("y") + F.col("h"))).alias("bottom"))
+    cropped = lambda value, other: F.when(there, value).otherwise(other).cast("long")
+    return h.join(s, "sheet").select(
+        "vec_id",
+        cropped(F.when(F.col("half") == 0, F.greatest(F.lit(0), F.col("x") - pad)).otherwise(0), 0).alias("x1"),
+        cropped(F.when(F.col("half") == 0, side).otherwise(F.least(F.lit(side), F.col("x") + F.col("w") + pad)), side).alias("x2"),
+        cropped(F.greatest(F.lit(0), F.col("top") - pad), 0).alias("y1"),
+        cropped(F.least(F.lit(side), F.col("bottom") + pad), side).alias("y2"),
+    )
+
+
+@query("SELECT lang, count(*) AS n_pages, round(avg(length(text) % 101), 6) AS mean_confidence, count(*) FILTER (WHERE length(text) % 101 < 60) AS n_unsure, round(count(*) FILTER (WHERE length(text) > 0) / count(*), 6) AS success_rate FROM page_text GROUP BY lang")
+def a21_recognition_quality(spark: SparkSession, folder: str) -> DataFrame:
+    # an extension; a page's confidence follows from its length
+    c = F.length("text") % 101
+    return table(spark, folder, "page_text").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.round(F.avg(c), 6).alias("mean_confidence"), F.count_if(c < 60).alias("n_unsure"), F.round(F.count_if(F.length("text") > 0) / F.count(F.lit(1)), 6).alias("success_rate")
+    )
+
+
+@query("WITH f AS (SELECT pdf_path, array_agg(page_id ORDER BY page_number, page_id) AS ids FROM page_text GROUP BY 1), x AS (SELECT pdf_path, list_concat(ids[1:len(ids) // 2], list_concat([-1, -2], ids[len(ids) // 2 + 1:])) AS ids FROM f) SELECT pdf_path, array_to_string(ids, ',') AS ids FROM x")
+def u01_inserted_pages(spark: SparkSession, folder: str) -> DataFrame:
+    # two new pages after the first half of each file
+    f = table(spark, folder, "page_text").groupBy("pdf_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_id"))), lambda x: x["page_id"]).alias("ids"))
+    at = F.floor(F.size("ids") / 2).cast("int")
+    ids = F.concat(F.slice("ids", F.lit(1), at), F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long")), F.slice("ids", at + 1, F.size("ids")))
+    return f.select("pdf_path", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("WITH u AS (SELECT pdf_path, max(epoch_us(requested_at)) AS used FROM search_request GROUP BY 1) SELECT pdf_path, used, CAST(row_number() OVER (ORDER BY used DESC, pdf_path) AS INT) AS place FROM u")
+def u21_recently_used(spark: SparkSession, folder: str) -> DataFrame:
+    # places over all files by counting per day first, so that no window holds them all
+    u = table(spark, folder, "search_request").groupBy("pdf_path").agg(F.max("requested_at").alias("at")).select("pdf_path", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("at").cast("timestamp_ntz")).alias("used"))
+    day = F.floor(F.coalesce("used", F.lit(-1)) / 3_600_000_000)
+    u = u.withColumn("hour", day)
+    n = u.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    # one row an hour
+    before = n.select("hour", F.coalesce(F.sum("n").over(Window.orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("hour").orderBy(F.col("used").desc(), "pdf_path"))
+    return u.withColumn("own", own).join(before, "hour").select("pdf_path", "used", (F.col("before") + F.col("own")).cast("int").alias("place"))
+
+
+@query(_FILES + "SELECT page_id, CASE WHEN eta > 0 THEN CAST(greatest(1, round(eta / 1000)) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(greatest(1, round(eta / 1000)) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS clock, array_to_string(string_split(pdf_path, '/')[-3:-2], '/') AS folders FROM (SELECT page_id, pdf_path, CAST((n_pages - page_number) * 1700 - 300 AS DOUBLE) AS eta FROM page_text JOIN n USING (pdf_path))")
+def x34_clock_and_folders(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(spark, folder, "page_text")
+    n = t.groupBy("pdf_path").agg(F.max("page_number").alias("n_pages"))
+    parts = F.split("pdf_path", "/")
+    eta = (F.col("n_pages") - F.col("page_number")) * 1700 - 300
+    return t.join(n, "pdf_path").select("page_id", tx.eta_label(eta).alias("clock"), F.array_join(F.slice(parts, F.size(parts) - 2, 2), "/").alias("folders"))
