@@ -27,13 +27,12 @@ def f01_search(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     _FIND
     + """SELECT doc_id, CAST(start_offset AS INT) AS start_offset, start_offset > 40 AS cut_before, start_offset + 44 < length(text) AS cut_after,
-regexp_replace(regexp_replace(text[greatest(start_offset - 40, 0) + 1 : start_offset], '\\s+', ' ', 'g'), '^ ', '') AS before_text,
-regexp_replace(text[start_offset + 1 : start_offset + 4], '\\s+', ' ', 'g') AS match_text,
-regexp_replace(regexp_replace(text[start_offset + 5 : start_offset + 44], '\\s+', ' ', 'g'), ' $', '') AS after_text FROM m
-WHERE NOT regexp_matches(text, '[^\\x00-\\x7E]')"""
+regexp_replace(regexp_replace(text[greatest(start_offset - 40, 0) + 1 : start_offset], '[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'), '^ ', '') AS before_text,
+regexp_replace(text[start_offset + 1 : start_offset + 4], '[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g') AS match_text,
+regexp_replace(regexp_replace(text[start_offset + 5 : start_offset + 44], '[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'), ' $', '') AS after_text FROM m
+"""
 )
 def proj_p02_excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    # the twin has the ASCII texts only: the two engines differ on which other characters are spaces
     e = ops.search(table(spark, folder, "documents"), "doc_id", "text", _WORD)
     return e.select(
         "doc_id", "start_offset", F.col("excerpt.prefix").alias("cut_before"), F.col("excerpt.suffix").alias("cut_after"),
@@ -281,12 +280,18 @@ def _page_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return p.where("b IS NOT NULL")
 
 
-@query("SELECT page_id, length(lo) AS agree FROM (SELECT page_id, array_to_string(list_filter(list_transform(range(1, least(length(text), length(nxt), 60) + 1), lambda i: CASE WHEN text[1:i] = nxt[1:i] THEN 'x' END), lambda v: v IS NOT NULL), '') AS lo FROM (SELECT page_id, text[1:60] AS text, lead(text) OVER (PARTITION BY pdf_path ORDER BY page_number, page_id)[1:60] AS nxt FROM page_text WHERE text IS NOT NULL) WHERE nxt IS NOT NULL)")
+_AGREE = (
+    "WITH p AS (SELECT page_id, text AS a, lead(text) OVER (PARTITION BY pdf_path ORDER BY page_number, page_id) AS b FROM page_text WHERE text IS NOT NULL), "
+    "c AS (SELECT page_id, list_transform(range(1, length(a) + 1), lambda i: a[i:i]) AS a, list_transform(range(1, length(b) + 1), lambda i: b[i:i]) AS b FROM p WHERE b IS NOT NULL), "
+    "m AS (SELECT *, least(len(a), len(b)) AS n FROM c) "
+)
+
+
+@query(_AGREE + "SELECT page_id, CAST(coalesce(nullif(list_position(list_transform(range(1, n + 1), lambda i: a[i] <> b[i]), true), 0), n + 1) - 1 AS BIGINT) AS agree FROM m")
 def x27_common_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    # the twin compares the first 60 characters only
     return _page_pairs(spark, folder).select("page_id", fx.common_prefix(F.col("a"), F.col("b")).cast("long").alias("agree"))
 
 
-@query()
+@query(_AGREE + "SELECT page_id, CAST(coalesce(nullif(list_position(list_transform(range(0, n), lambda i: a[len(a) - i] <> b[len(b) - i]), true), 0), n + 1) - 1 AS BIGINT) AS agree FROM m")
 def x27_common_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return _page_pairs(spark, folder).select("page_id", fx.common_suffix(F.col("a"), F.col("b")).cast("long").alias("agree"))

@@ -54,17 +54,18 @@ def s09_outlines(spark: SparkSession, folder: str) -> DataFrame:
     return flat.select("r_regionkey", "page_index", "title")
 
 
-@query("SELECT doc_id, CAST(4 AS INT) AS width, CAST(length(text) // 4 AS INT) AS height FROM documents WHERE length(text) >= 4 AND NOT regexp_matches(text, '[^\\x00-\\x7E]')")
+@query("SELECT doc_id, CASE WHEN strlen(text) >= 4 THEN CAST(4 AS INT) END AS width, CASE WHEN strlen(text) >= 4 THEN CAST(strlen(text) // 4 AS INT) END AS height FROM documents")
 def s12_grey_maps(spark: SparkSession, folder: str) -> DataFrame:
-    # the twin has the ASCII texts of four characters and more only; shorter ones are no image
+    # texts of fewer than four bytes are no image
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     head = F.concat(F.lit("P5\n# made of text\n4 "), F.floor(F.octet_length(data) / 4).cast("string"), F.lit("\n255\n"))
     d = table(spark, folder, "documents").select("doc_id", F.concat(F.encode(head, "UTF-8"), data).alias("content"))
     return formats.netpbm(d, "doc_id").select("doc_id", "width", "height")
 
 
-@query("SELECT doc_id, CAST(2 AS BIGINT) AS signature FROM documents")
+@query("SELECT doc_id, true AS sound, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs, doc_id % 3 = 0 AS rtl, md5(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS digest FROM documents")
 def k04_docx(spark: SparkSession, folder: str) -> DataFrame:
-    files = sinks.to_docx(table(spark, folder, "documents"), "doc_id", "text")
-    # every file begins with the two letters of an archive
-    return files.select("doc_id", F.length(F.regexp_extract(F.substring("content", 1, 2).cast("string"), "^PK$", 0)).cast("long").alias("signature"))
+    # written and read again: checksums, paragraphs, direction and text
+    d = table(spark, folder, "documents").select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("from_right"))
+    read = sinks.read_docx(sinks.to_docx(d, "doc_id", "text", "from_right"), "doc_id")
+    return read.select("doc_id", "sound", "paragraphs", "rtl", F.md5("text").alias("digest"))

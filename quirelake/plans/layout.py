@@ -228,14 +228,13 @@ def j07_point_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     _BOX
-    + ", m AS (SELECT x.page, 1 AS mark, x.id, greatest(0, least(r, 120) - greatest(l, 40)) * greatest(0, least(bo, 150) - greatest(t, 50)) AS i, (r - l) * (bo - t) AS a FROM x), "
-    "s AS (SELECT *, i / (a + 8000 - i) AS score FROM m) SELECT page, mark, id FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS k FROM s WHERE score >= 0.2) WHERE k = 1"
+    + ", m AS (SELECT x.page, 1 AS mark, x.id, greatest(0, least(r, 120) - greatest(l, 40)) * greatest(0, least(bo, 150) - greatest(t, 50)) AS i, (r - l) * (bo - t) AS a, sqrt(pow((l + r) / 2 - 80, 2) + pow((t + bo) / 2 - 100, 2)) AS d FROM x), "
+    "s AS (SELECT *, i / (a + 8000 - i) AS score FROM m) SELECT page, mark, id FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score > 0 DESC, CASE WHEN score > 0 THEN -score ELSE d END, id) AS k FROM s WHERE score > 0 OR d <= 40) WHERE k = 1"
 )
 def j09_best_overlap(spark: SparkSession, folder: str) -> DataFrame:
     b = _boxes(spark, folder)
     lits = {"left": 40.0, "top": 50.0, "right": 120.0, "bottom": 150.0}
     marks = b.select("page").distinct().select("page", F.lit(1).alias("id"), *[F.lit(v).alias(c) for c, v in lits.items()])
-    # the twin has the marks with an IoU of at least 0.2 only
     return boxes.best_overlap(b, marks).select("page", "mark", "id")
 
 

@@ -43,7 +43,7 @@ def o13_placed_markers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LAYOUT = (
-    "WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey // 2 AS parent, s_suppkey % 2 = 1 AS second, s_suppkey % 3 = 0 AS hor, CAST(greatest(0.1, least(0.9, (s_suppkey % 11) / 10.0)) AS DOUBLE) AS r FROM supplier WHERE s_suppkey < 64), "
+    "WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey // 2 AS parent, s_suppkey % 2 = 1 AS second, s_suppkey % 3 = 0 AS hor, CAST(greatest(0.1, least(0.9, (s_suppkey % 11) / 10.0)) AS DOUBLE) AS r FROM supplier WHERE s_suppkey >= 1), "
     "b AS (SELECT id, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w, CAST(1 AS DOUBLE) AS h FROM n WHERE id = 1 UNION ALL "
     "SELECT c.id, CASE WHEN p.hor AND c.second THEN b.x + b.w * p.r ELSE b.x END, CASE WHEN NOT p.hor AND c.second THEN b.y + b.h * p.r ELSE b.y END, "
     "CASE WHEN NOT p.hor THEN b.w WHEN c.second THEN b.w * (1 - p.r) ELSE b.w * p.r END, CASE WHEN p.hor THEN b.h WHEN c.second THEN b.h * (1 - p.r) ELSE b.h * p.r END FROM b JOIN n p ON p.id = b.id JOIN n c ON c.parent = p.id) "
@@ -51,7 +51,7 @@ _LAYOUT = (
 
 
 def _layout(spark: SparkSession, folder: str) -> DataFrame:
-    # a binary tree from supplier 1 (0 lies outside of it); the twin has its first 63 nodes only
+    # a binary tree from supplier 1 (0 lies outside of it)
     k = F.col("s_suppkey")
     s = table(spark, folder, "supplier").where("s_suppkey >= 1")
     return s.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"), (k % 2 == 1).alias("second"), (k % 3 == 0).alias("horizontal"), ((k % 11) / 10.0).alias("ratio"))
@@ -96,12 +96,16 @@ def j14_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-_AT = "WITH d AS (SELECT doc_id, text, CAST(doc_id * 7919 % length(text) AS INT) AS at FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\x00-\\x7E]')), w AS (SELECT * FROM d WHERE NOT regexp_matches(substring(text, at + 1, 1), '\\s')) "
+_WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
-@query(_AT.replace(" AS at FROM", " AS off FROM").replace("at + 1", "off + 1") + "SELECT doc_id, CAST(off - length(regexp_extract(substring(text, 1, off), '\\S*$', 0)) AS INT) AS start, CAST(off + length(regexp_extract(substring(text, off + 1), '^\\S*', 0)) AS INT) AS stop FROM w")
+@query(
+    "WITH d AS (SELECT doc_id, text, CAST(doc_id * 7919 % length(text) AS INT) AS off, length(text) AS n FROM documents WHERE length(text) > 0), "
+    f"s AS (SELECT *, off - length(regexp_extract(text[1:off], '[{_WHITE}]*$', 0)) - 1 AS lo, off + length(regexp_extract(text[off + 1:], '^[{_WHITE}]*', 0)) AS hi FROM d), "
+    "w AS (SELECT *, CASE WHEN hi = off THEN off WHEN lo >= 0 AND (hi >= n OR off - lo <= hi - off) THEN lo WHEN hi < n THEN hi END AS at_c FROM s) "
+    f"SELECT doc_id, CAST(coalesce(at_c - length(regexp_extract(text[1:at_c], '[^{_WHITE}]*$', 0)), off) AS INT) AS start, CAST(coalesce(at_c + length(regexp_extract(text[at_c + 1:], '^[^{_WHITE}]*', 0)), off + 1) AS INT) AS stop FROM w"
+)
 def x33_word_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    # the twin has the ASCII texts and the offsets within words only
     d = table(spark, folder, "documents").where(F.length("text") > 0)
     d = d.select("doc_id", "text", (F.col("doc_id") * 7919 % F.length("text")).cast("int").alias("off"))
     return d.select("doc_id", fx.word_bounds(F.col("text"), F.col("off")).alias("w")).select("doc_id", "w.start", "w.stop")

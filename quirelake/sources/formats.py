@@ -30,12 +30,14 @@ def tsv_words(lines: DataFrame, column: str) -> DataFrame:
     Adds ``block, par, line_no, word_no, left, top, width, height, conf, text``; rows that are
     no word (level 5), are not sure enough, or have no size are left out.
     """
-    f = F.split(F.col(column), "\t", 12)
+    # behind the generator the fields are an attribute: split once, whatever is asked of them
+    lines = lines.withColumn("_fields", F.explode(F.array(F.split(F.col(column), "\t", 12))))
+    f = F.col("_fields")
     num = lambda i: F.try_element_at(f, F.lit(i)).try_cast("double")
     whole = lambda i: num(i).cast("int")
     kept = lines.where((F.size(f) >= 12) & (whole(1) == 5) & (num(11) >= LEAST_CONFIDENCE) & (num(9) > 0) & (num(10) > 0))
     names = {"block": 3, "par": 4, "line_no": 5, "word_no": 6, "left": 7, "top": 8, "width": 9, "height": 10}
-    return kept.select("*", *[whole(i).alias(n) for n, i in names.items()], num(11).alias("conf"), F.try_element_at(f, F.lit(12)).alias("text"))
+    return kept.select("*", *[whole(i).alias(n) for n, i in names.items()], num(11).alias("conf"), F.try_element_at(f, F.lit(12)).alias("text")).drop("_fields")
 
 
 def words_to_lines(words: DataFrame, keys: list[str]) -> DataFrame:

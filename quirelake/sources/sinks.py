@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_KEPT = {"\r": "&#13;"}  # else a reader takes it for a line break
+#: Characters that XML cannot hold.
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
 
 def write_index(pages: DataFrame, path: str, keys: list[str]) -> None:
     """Page texts as JSON lines, one folder for each key; the committer renames finished files."""
@@ -19,7 +25,7 @@ def write_index(pages: DataFrame, path: str, keys: list[str]) -> None:
 def docx_bytes(text: str, rtl: bool = False) -> bytes:
     """A word-processor document with one paragraph for each line."""
     flag = "<w:pPr><w:bidi/></w:pPr>" if rtl else ""
-    body = "".join(f'<w:p>{flag}<w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    body = "".join(f'<w:p>{flag}<w:r><w:t xml:space="preserve">{escape(line, _KEPT)}</w:t></w:r></w:p>' for line in _FORBIDDEN.sub("", text).split("\n"))
     ns = "http://schemas.openxmlformats.org"
     parts = {
         "[Content_Types].xml": f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
@@ -33,14 +39,43 @@ def docx_bytes(text: str, rtl: bool = False) -> bytes:
     return out.getvalue()
 
 
-def to_docx(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, content)``: each text as a document's bytes, built where the rows are."""
+def to_docx(documents: DataFrame, key: str, text: str, rtl: str | None = None) -> DataFrame:
+    """``(key, content)``: each text as a document's bytes, built where the rows are.
+
+    ``rtl`` names a column that tells texts written from right to left. Null texts give a
+    document with one empty paragraph; characters that no document may hold are left out.
+    """
+    side = F.coalesce(F.col(rtl), F.lit(False)) if rtl else F.lit(False)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "content": [docx_bytes(t or "", bool(r)) for t, r in zip(pdf["_text"], pdf["_rtl"])]})
+
+    rows = documents.select(key, F.col(text).alias("_text"), side.alias("_rtl"))
+    return rows.mapInPandas(run, f"{key} {documents.schema[key].dataType.simpleString()}, content binary")
+
+
+def read_docx(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``(key, sound, paragraphs, rtl, text)`` of documents; what is no sound archive has nulls but for ``sound``."""
+
+    def one(data: bytes):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                if z.testzip() is not None:
+                    return False, None, None, None
+                body = ElementTree.fromstring(z.read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
+            return False, None, None, None
+        w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        found = list(body.iter(f"{w}p"))
+        return True, len(found), any(True for _ in body.iter(f"{w}bidi")), "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in found)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "content": [docx_bytes(t or "") for t in pdf[text]]})
+            rows = [(k, *one(data)) for k, data in zip(pdf[key], pdf[content])]
+            yield pd.DataFrame(rows, columns=[key, "sound", "paragraphs", "rtl", "text"])
 
-    return documents.select(key, text).mapInPandas(run, f"{key} {documents.schema[key].dataType.simpleString()}, content binary")
+    return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, sound boolean, paragraphs long, rtl boolean, text string")
 
 
 def grey_map(width: int, height: int, pixels: bytes) -> bytes:

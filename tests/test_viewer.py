@@ -122,3 +122,26 @@ def test_changed_sets_and_hydration(spark):
     c = spark.createDataFrame([(1, "old", False, ["a", "b"]), (2, "new", False, ["b"]), (3, " ", False, ["a", "b"]), (4, "", True, ["a"]), (5, None, False, ["z"])], "id int, text string, has_note boolean, keys array<string>")
     got = {r["id"]: (r["text"], r["from_key"]) for r in links.hydrated(c).collect()}
     assert got == {1: ("old", None), 2: ("new", None), 3: ("old", "a"), 4: ("", None), 5: (None, None)}
+
+
+def test_index_folders(spark, tmp_path):
+    from quirelake.sources import index
+
+    path = str(tmp_path / "index")
+    assert index.read_index_dir(spark, path) is None
+    rows = [("a.pdf", 1, "one"), ("a.pdf", 2, ""), ("b.pdf", 1, "é"), ("b.pdf", 0, "none"), (None, 1, "none")]
+    index.write_index_dir(spark.createDataFrame(rows, "document string, page_number int, text string"), path)
+    assert {tuple(r) for r in index.read_index_dir(spark, path).collect()} == {("a.pdf", 1, "one"), ("a.pdf", 2, ""), ("b.pdf", 1, "é")}
+    index.write_index_dir(spark.createDataFrame([("c.pdf", 3, "new")], "document string, page_number int, text string"), path)
+    assert {tuple(r) for r in index.read_index_dir(spark, path).collect()} == {("c.pdf", 3, "new")}
+    assert [p.name for p in tmp_path.iterdir()] == ["index"]
+
+
+def test_documents_written_and_read(spark):
+    from quirelake.sources import sinks
+
+    d = spark.createDataFrame([(1, "a <b>\n& c", False), (2, None, True), (3, "x\x07y", None)], "id int, text string, r boolean")
+    got = {r["id"]: tuple(r)[1:] for r in sinks.read_docx(sinks.to_docx(d, "id", "text", "r"), "id").collect()}
+    assert got == {1: (True, 2, False, "a <b>\n& c"), 2: (True, 1, True, ""), 3: (True, 1, False, "xy")}
+    bad = spark.createDataFrame([(1, bytearray(b"PKno"))], "id int, content binary")
+    assert sinks.read_docx(bad, "id").collect()[0]["sound"] is False
