@@ -237,7 +237,7 @@ def test_greedy(spark):
         (2, 0, 5, "5R", None, "", 0.0, 0.0, 0.1, 0.1),
     ]
     df = spark.createDataFrame(c, "page int, place int, id long, ann_id string, uid string, text string, left double, top double, right double, bottom double").withColumn("markup", F.lit(True))
-    assert rows(greedy.resolve(df.withColumn("markup", F.lit(False)))) == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 4), (2, 5, 5)]
+    assert rows(greedy.resolve(df.withColumn("markup", F.lit(False)))) == [(1, 1, 1), (1, 2, 2), (1, 3, 1), (1, 4, 4), (2, 5, 5)]
     assert rows(greedy.resolve(df)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 5, 5)]
 
 
