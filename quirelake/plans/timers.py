@@ -29,17 +29,51 @@ def t02_idle_runs(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.runs(_events(spark, folder), ["user_id"], "ts", "event_id", 30 * MIN).select("user_id", "event_id", "run")
 
 
-@query()
+def _walked(key: str, gap_us: int, seed: str, step: str, out: str) -> str:
+    """A twin that follows the events of a run one by one: ``seed`` from ``o`` where n = 1, ``step`` from ``w`` and the next ``o``."""
+    return (
+        f"WITH RECURSIVE e AS (SELECT {key} AS k, event_id, CASE WHEN event_type = 'error' THEN -value ELSE value END AS d, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS pt FROM events), "
+        f"r AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > {gap_us} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY t, event_id) AS n, count(*) OVER (PARTITION BY k, run) AS m FROM r), "
+        f"w AS ({seed} UNION ALL {step}) {out}"
+    )
+
+
+_NEXT = "JOIN o ON o.k = w.k AND o.run = w.run AND o.n = w.n + 1"
+
+
+@query(
+    _walked(
+        "user_id", 600 * MIN,
+        "SELECT k, run, n, t, t AS began, 0 AS batch FROM o WHERE n = 1",
+        f"SELECT o.k, o.run, o.n, o.t, CASE WHEN o.t - began >= {1200 * MIN} THEN o.t ELSE began END, CASE WHEN o.t - began >= {1200 * MIN} THEN batch + 1 ELSE batch END FROM w {_NEXT}",
+        "SELECT k AS user_id, CAST(run AS BIGINT) AS run, CAST(batch AS INT) AS batch, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM w GROUP BY k, run, batch",
+    )
+)
 def t02_batches(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.batches(_events(spark, folder), ["user_id"], "ts", "event_id", 600 * MIN, 1200 * MIN)
 
 
-@query()
+@query(
+    _walked(
+        "event_type", 30 * MIN,
+        "SELECT k, run, n, m, t, event_id, t AS sent, true AS hit FROM o WHERE n = 1",
+        f"SELECT o.k, o.run, o.n, o.m, o.t, o.event_id, CASE WHEN o.t - sent >= {30 * MIN} THEN o.t ELSE sent END, o.t - sent >= {30 * MIN} FROM w {_NEXT}",
+        "SELECT k AS event_type, CAST(run AS BIGINT) AS run, t AS event_us, event_id FROM w WHERE hit OR n = m",
+    )
+)
 def t05_throttled(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.throttle(_events(spark, folder), ["event_type"], "ts", "event_id", 30 * MIN)
 
 
-@query()
+@query(
+    _walked(
+        "user_id", 600 * MIN,
+        "SELECT k, run, n, event_id, CAST(sign(d) AS INT) AS way, d - sign(d) * least(3, floor(abs(d) / 20)) * 20 AS kept, CAST(sign(d) * least(3, floor(abs(d) / 20)) AS INT) AS steps FROM o WHERE n = 1",
+        "SELECT k, run, n, event_id, way, total - way * least(3, floor(abs(total) / 20)) * 20, CAST(way * least(3, floor(abs(total) / 20)) AS INT) FROM (SELECT o.k, o.run, o.n, o.event_id, CASE WHEN d <> 0 THEN CAST(sign(d) AS INT) ELSE way END AS way, CASE WHEN d <> 0 AND sign(d) <> way THEN 0 ELSE kept END + d AS total FROM w " + _NEXT + ")",
+        "SELECT k AS user_id, event_id, steps FROM w",
+    )
+)
 def t01_steps(spark: SparkSession, folder: str) -> DataFrame:
     e = _events(spark, folder).withColumn("delta", F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")))
     return ordered.accumulate(e, ["user_id"], "ts", "event_id", "delta", 20.0, 600 * MIN)
@@ -151,3 +185,32 @@ def w05_inferred_ranges(spark: SparkSession, folder: str) -> DataFrame:
     labels = j03_page_labels(spark, folder).join(table(spark, folder, "page_text").select("page_id", "pdf_path", "page_number"), "page_id")
     one = labels.groupBy("pdf_path", "page_number").agg(F.min("label").alias("label"))
     return series.infer_label_ranges(one, ["pdf_path"], "page_number", "label")
+
+
+@query("SELECT source AS item, 'both' AS side FROM (SELECT source FROM documents WHERE kind = 'note' INTERSECT SELECT source FROM documents WHERE kind = 'outline') UNION ALL SELECT source, 'notes only' FROM (SELECT source FROM documents WHERE kind = 'note' EXCEPT SELECT source FROM documents WHERE kind = 'outline')")
+def u15_set_operations(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    notes, outlines = (d.where(F.col("kind") == k).select(F.col("source").alias("item")) for k in ("note", "outline"))
+    return notes.intersect(outlines).withColumn("side", F.lit("both")).unionAll(notes.subtract(outlines).withColumn("side", F.lit("notes only")))
+
+
+@query("SELECT strategy, count(*) AS n, CAST(sum(o_orderkey % 1000) AS BIGINT) AS checksum FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('merge'), ('shuffle_hash'), ('broadcast')) s(strategy) GROUP BY 1")
+def j22_join_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    # the same join by each strategy; the broadcast side is asked for its size by the planner's own limit
+    o, c = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("k")), table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    out = None
+    for name in ("merge", "shuffle_hash", "broadcast"):
+        side = c if name == "broadcast" else c.hint(name)
+        one = o.join(side, "k").agg(F.lit(name).alias("strategy"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey") % 1000).cast("long").alias("checksum"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT o_orderkey, CAST(last_day(o_orderdate) - CAST(o_orderdate AS DATE) AS INT) AS days_left, CAST(o_orderkey & 255 AS BIGINT) AS low, CAST(xor(o_orderkey, o_custkey) AS BIGINT) AS mixed, regexp_extract(o_orderpriority, '^(\\d)-(\\w+)', 2) AS word FROM orders")
+def x31_dates_bits_groups(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders")
+    day = F.to_date("o_orderdate")
+    return o.select(
+        "o_orderkey", F.datediff(F.last_day(day), day).alias("days_left"), F.col("o_orderkey").bitwiseAND(255).cast("long").alias("low"),
+        F.col("o_orderkey").bitwiseXOR(F.col("o_custkey")).cast("long").alias("mixed"), F.regexp_extract("o_orderpriority", r"^(\d)-(\w+)", 2).alias("word"),
+    )
