@@ -18,7 +18,21 @@ def _boxed(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("page", "id", "ann_id", "uid", "text", "source", "at_us", F.col("l").alias("left"), F.col("t").alias("top"), (F.col("l") + F.col("w")).alias("right"), (F.col("t") + F.col("h")).alias("bottom"))
 
 
-@query()
+_CROSS = "greatest(0, least(z.r, r) - greatest(z.l, l)) * greatest(0, least(z.bo, bo) - greatest(z.t, t))"
+_AREAS = "(r - l) * (bo - t), (z.r - z.l) * (z.bo - z.t)"
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT doc_id AS id, doc_id // 25 + 1 AS page, CASE WHEN doc_id % 3 = 0 THEN doc_id || 'R' END AS ann, coalesce(source, '') AS uid, doc_id % 2 = 0 AS editor, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS txt, trim(coalesce(text, '')) <> '' AS said, coalesce(epoch_us(added_at), 0) AS at_us, doc_id % 3 <> 1 AS markup, "
+    "CAST(doc_id * 37 % 800 AS DOUBLE) / 1000 AS l, CAST(doc_id * 53 % 700 AS DOUBLE) / 1000 AS t, CAST(doc_id * 37 % 800 AS DOUBLE) / 1000 + CAST(doc_id * 7 % 90 AS DOUBLE) / 1000 AS r, CAST(doc_id * 53 % 700 AS DOUBLE) / 1000 + CAST(doc_id * 11 % 60 AS DOUBLE) / 1000 AS bo FROM documents), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ann IS NOT NULL THEN 110 ELSE 0 END + CASE WHEN uid <> '' THEN 55 ELSE 0 END + CASE WHEN editor THEN 22 ELSE 0 END + CASE WHEN said THEN 12 ELSE 0 END + CASE WHEN at_us <> 0 THEN 5 ELSE 0 END DESC, at_us DESC, id) AS n FROM c), "
+    "w AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS entity, CAST([] AS STRUCT(id BIGINT, ann VARCHAR, uid VARCHAR, txt VARCHAR, markup BOOLEAN, l DOUBLE, t DOUBLE, r DOUBLE, bo DOUBLE)[]) AS kept FROM (SELECT DISTINCT page FROM o) UNION ALL "
+    "SELECT page, n, id, coalesce(same, id), CASE WHEN same IS NULL THEN list_append(kept, struct_pack(id := id, ann := ann, uid := uid, txt := txt, markup := markup, l := l, t := t, r := r, bo := bo)) ELSE kept END FROM ("
+    "SELECT o.*, w.kept, list_filter(w.kept, lambda z: CASE WHEN ann IS NOT NULL AND z.ann IS NOT NULL THEN ann = z.ann WHEN uid <> '' AND z.uid <> '' THEN uid = z.uid ELSE "
+    "((ann IS NULL AND z.ann IS NULL AND uid = '' AND z.uid = '') OR txt = '' OR z.txt = '' OR txt = z.txt) AND markup AND z.markup AND "
+    f"(coalesce({_CROSS} / nullif((r - l) * (bo - t) + (z.r - z.l) * (z.bo - z.t) - {_CROSS}, 0), 0) >= 0.46 OR sqrt(pow((l + r - z.l - z.r) / 2, 2) + pow((t + bo - z.t - z.bo) / 2, 2)) <= 0.045 AND greatest({_AREAS}) / greatest(1e-6, least({_AREAS})) <= 2.8) END)[1].id AS same "
+    "FROM w JOIN o ON o.page = w.page AND o.n = w.n + 1)) SELECT page, id, entity FROM w WHERE id IS NOT NULL"
+)
 def u06_resolved_comments(spark: SparkSession, folder: str) -> DataFrame:
     c = _boxed(spark, folder)
     points = cm.merge_points(F.col("ann_id"), F.col("uid"), F.col("source"), F.col("text"), F.lit(False), F.col("at_us"), F.col("left"))
@@ -28,7 +42,19 @@ def u06_resolved_comments(spark: SparkSession, folder: str) -> DataFrame:
     return greedy.resolve(c.withColumn("place", place).withColumn("markup", F.col("id") % 3 != 1))
 
 
-@query()
+_IOU = "greatest(0, least(h.r, o.r) - greatest(h.l, o.l)) * greatest(0, least(h.bo, o.bo) - greatest(h.t, o.t))"
+
+
+@query(
+    "WITH RECURSIVE b AS (SELECT vec_id AS id, label AS page, CAST(floor(abs(embedding[1]) * 1000) AS DOUBLE) AS l, CAST(floor(abs(embedding[2]) * 1000) AS DOUBLE) AS t, CAST(floor(abs(embedding[3]) * 300) + 1 AS DOUBLE) AS w, CAST(floor(abs(embedding[4]) * 300) + 1 AS DOUBLE) AS hh FROM embeddings), "
+    "x AS (SELECT id, page, l, t, l + w AS r, t + hh AS bo FROM b), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM x WHERE id % 2 = 0), "
+    f"g AS (SELECT o.page, o.n, o.id, h.id AS hint, {_IOU} / ((o.r - o.l) * (o.bo - o.t) + (h.r - h.l) * (h.bo - h.t) - {_IOU}) AS iou FROM o JOIN x h ON h.page = o.page AND h.id % 2 = 1), "
+    "c AS (SELECT page, n, id, array_agg(struct_pack(hint := hint, iou := iou) ORDER BY iou DESC, hint) FILTER (WHERE iou >= 0.2) AS cs FROM g GROUP BY 1, 2, 3), "
+    "w AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS hint, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT page FROM o) UNION ALL "
+    "SELECT page, n, id, hint, CASE WHEN hint IS NULL THEN used ELSE list_append(used, hint) END FROM (SELECT c.page, c.n, c.id, list_filter(c.cs, lambda z: NOT list_contains(w.used, z.hint))[1].hint AS hint, w.used FROM w JOIN c ON c.page = w.page AND c.n = w.n + 1)) "
+    "SELECT page, id, hint FROM w WHERE hint IS NOT NULL"
+)
 def j08_assigned_hints(spark: SparkSession, folder: str) -> DataFrame:
     from quirelake.plans.layout import _boxes
 
@@ -36,7 +62,18 @@ def j08_assigned_hints(spark: SparkSession, folder: str) -> DataFrame:
     return greedy.assign(b.where("id % 2 = 0"), b.where("id % 2 = 1"))
 
 
-@query()
+_SPOTS = "[" + ", ".join(f"[{a}.0, {b}.0]" for a, b in greedy.OFFSETS) + "]"
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT doc_id AS id, doc_id // 25 + 1 AS page, CAST(doc_id * 37 % 800 AS DOUBLE) / 1000 * 600 AS x, CAST(doc_id * 53 % 700 AS DOUBLE) / 1000 * 800 AS y FROM documents), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM c), "
+    "w AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE[]) AS spot, CAST([] AS DOUBLE[][]) AS placed FROM (SELECT DISTINCT page FROM o) UNION ALL "
+    "SELECT page, n, id, spot, list_append(placed, spot) FROM (SELECT page, n, id, placed, spots[coalesce(nullif(list_position(list_transform(room, lambda m: m >= 24), true), 0), list_position(room, list_max(room)))] AS spot FROM ("
+    "SELECT page, n, id, placed, spots, list_transform(spots, lambda s: coalesce(list_min(list_transform(placed, lambda p: sqrt((p[1] - s[1]) * (p[1] - s[1]) + (p[2] - s[2]) * (p[2] - s[2])))), 1e18)) AS room FROM ("
+    f"SELECT o.page, o.n, o.id, w.placed, list_transform({_SPOTS}, lambda f: [o.x + f[1], o.y + f[2]]) AS spots FROM w JOIN o ON o.page = w.page AND o.n = w.n + 1)))) "
+    "SELECT page, id, spot[1] AS x, spot[2] AS y FROM w WHERE id IS NOT NULL"
+)
 def o13_placed_markers(spark: SparkSession, folder: str) -> DataFrame:
     b = _boxed(spark, folder)
     return greedy.place_markers(b.select("page", "id", (F.col("left") * 600).alias("x"), (F.col("top") * 800).alias("y")))
